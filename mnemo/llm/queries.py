@@ -24,5 +24,42 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents_of(spark, sf_dir, "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op6_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def pii_digest(docs: DataFrame) -> DataFrame:
+    """Counts per base kind, a hash of the base spans, and all spans as text."""
+    from .pii import BASE, find_pii, span_text
+
+    found = find_pii(docs.select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda s: s["kind"].isin(*BASE))
+    of_kind = lambda k: F.filter("pii_spans", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("pii_spans")).alias("spans"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(documents_of(spark, sf_dir, "doc_id", "text"))
+
+
+#: (action, host/path) of the url query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     q AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host,
+                  regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
+     r(action, h, p, rule) AS (VALUES ('block', 'net', '/', 'net/'), ('allow', 'example.net', '/en/', 'example.net/en/'),
+                                      ('block', 'example.com', '/de/', 'example.com/de/'), ('allow', 'org', '/fr/', 'org/fr/')),
+     m AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action
+           FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id)
+SELECT q.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM q LEFT JOIN m USING (page_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op4_token_files, op5_personal_data, op6_best_fit_packing, op7_url_cascade)}
+ORACLE_SQL = {"op7_url_cascade": OP7_SQL}
