@@ -10,6 +10,10 @@ from mnemo.llm import stages
 from mnemo.llm.common import shared_root
 
 STAGES = [
+    ("toxicity", stages.toxicity),
+    ("near_dedup", stages.near_dedup),
+    ("decontamination", stages.decontamination),
+    ("personal_data", stages.personal_data),
     ("best_fit_packing", stages.best_fit_packing),
 ]
 

@@ -61,5 +61,55 @@ WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 SELECT q.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM q LEFT JOIN m USING (page_id)
 """
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op5_personal_data, op6_best_fit_packing, op7_url_cascade)}
+
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_documents
+
+    docs = documents_of(spark, sf_dir, "doc_id", "text")
+    chain = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(documents_of(spark, sf_dir, "doc_id", "text")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(documents_of(spark, sf_dir, "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import link_vectors
+
+    return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), 0.95)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, identify
+
+    docs = documents_of(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = fit(docs.where(F.coalesce(~held_out, F.lit(False))))
+    return identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the items found in it, and whether there are any."""
+    from .decontamination import contaminations
+
+    docs = documents_of(spark, sf_dir, "doc_id", "text")
+    found = contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("covered").alias("covered"))
+    out = docs.select("doc_id").join(items, "doc_id", "left")
+    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("items"),
+                      F.coalesce("covered", F.lit(0)).cast("long").alias("covered"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity_chain, op2_minhash_near_dedup, op3_token_counts, op4_token_files, op5_personal_data, op6_best_fit_packing, op7_url_cascade,
+    op8_embedding_near_dedup, op9_language_id, op10_template_decontamination)}
 ORACLE_SQL = {"op7_url_cascade": OP7_SQL}

@@ -7,7 +7,36 @@ from pyspark.sql import DataFrame, SparkSession
 from .tokenizing import tokenizer_file
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the chain finds toxic."""
+    from .toxicity import drop_toxic, fit
+
+    return drop_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near copies."""
+    from .minhash import drop_near_duplicates
+
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    from .decontamination import drop_contaminated
+
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask personal data in the texts."""
+    from .pii import mask_pii
+
+    return mask_pii(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place the documents' tokens in sequences."""
     from .packing import pack_documents
 
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
