@@ -8,18 +8,17 @@ A document is contaminated by an item if consistent windows cover enough of its
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import runs
-from .common import WordHashes, materialize
+from .common import materialize
+from .lexer import hash_word, lexed
 
-TOKEN = re.compile(r"[.!?\n]|[0-9]+(?:[.,:][0-9]+)*|[^\W\d_]+")
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month "
     "months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards gram grams "
@@ -29,44 +28,26 @@ UNITS = frozenset(
 WINDOW, COVER, LITERAL = 8, 13, 4
 #: Benchmark windows that one pass over the documents looks up; longer lists go in blocks.
 BLOCK = 2_000_000
-WORD_, NUMBER, NAME, UNIT, MARK = range(5)
+WORD_, NUMBER, NAME, UNIT = range(4)
 U = np.uint64
 _P = U(0x9E3779B97F4A7C15)
 
 
-class Templates:
-    """Canonical tokens of texts; one per worker and pass."""
-
-    def __init__(self):
-        self.seen = WordHashes(self._kinds)
-        self.rows = np.zeros((0, 3), U)
-        self.holes = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in range(5)], U)
-
-    @staticmethod
-    def _kinds(token: str) -> tuple[int, int, int]:
-        """(hash of the lower-case token, its kind by itself, whether it can be a unit)."""
-        low = token.lower()
-        kind = MARK if token in ".!?\n" else NUMBER if token[0].isdigit() else NAME if token[0].isupper() else WORD_
-        return xxhash.xxh64_intdigest(low), kind, int(low in UNITS)
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(canonical hashes, kinds, hashes of the tokens themselves), sentence marks left out."""
-        self.seen.trim()
-        ids = list(map(self.seen.__getitem__, TOKEN.findall(text))) if text else []
-        if len(self.seen.rows) < len(self.rows):
-            self.rows = self.rows[:0]
-        if len(self.seen.rows) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.array(self.seen.rows[len(self.rows):], U).reshape(-1, 3)])
-        got = self.rows[ids]
-        own, kind, unit = got[:, 0], got[:, 1].astype(np.int64), got[:, 2] > 0
-        if not len(own):
-            return own, kind, own
-        before = np.concatenate([[MARK], kind[:-1]])
-        kind = np.where((kind == NAME) & (before == MARK), WORD_, kind)  # a sentence's first word
-        kind = np.where(unit & (before == NUMBER), UNIT, kind)
-        keep = kind != MARK
-        own, kind = own[keep], kind[keep]
-        return np.where(kind == WORD_, own, self.holes[kind]), kind, own
+_HOLES = np.array([0x1000000000000001 * k for k in range(4)], U)
+_UNIT_HASHES = np.sort(np.array([hash_word(u) for u in UNITS], U))
+
+
+def templates(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text: (canonical hashes, kinds, hashes of the tokens themselves)."""
+    for _, x in lexed(texts, kinds=True):
+        kind = np.where(x.digit, NUMBER, np.where(x.capital & ~x.opens, NAME, WORD_))
+        after = np.flatnonzero(x.digit[:-1]) + 1  # tokens behind a number
+        after = after[~x.digit[after] & ~x.opens[after]]
+        low = np.minimum(np.searchsorted(_UNIT_HASHES, x.hash[after]), len(_UNIT_HASHES) - 1)
+        kind[after[_UNIT_HASHES[low] == x.hash[after]]] = UNIT
+        canon = np.where(kind == WORD_, x.hash, _HOLES[kind])
+        for a, b in zip(x.first[:-1].tolist(), x.first[1:].tolist(), strict=True):
+            yield canon[a:b], kind[a:b], x.hash[a:b]
 
 
 def window_hashes(canon: np.ndarray, n: int) -> np.ndarray:
@@ -91,10 +72,8 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The windows of every item; an item shorter than ``window`` is one window, from five tokens on."""
 
     def run(batches):
-        templates = Templates()
         for batch in batches:
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = templates.of(text)
+            for item, t in zip(batch.column(0).to_pylist(), templates(batch.column(1).to_pylist()), strict=True):
                 n = min(window, len(t[0]))
                 if n < 5:
                     continue
@@ -113,10 +92,8 @@ def document_hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
     spread = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        templates = Templates()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = templates.of(text)
+            for doc, t in zip(batch.column(0).to_pylist(), templates(batch.column(1).to_pylist()), strict=True):
                 for n, known in spread.value.items():
                     hashes = window_hashes(t[0], n)
                     if not len(hashes):

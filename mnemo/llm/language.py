@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes
+from .common import WordHashes, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Training rows a language may give (lowest hashes of doc_id first), and entries kept of each table.
-MAX_ROWS, MAX_WORDS, MAX_GRAMS = 4000, 60_000, 30_000
+MAX_ROWS, MAX_WORDS, MAX_GRAMS = 2000, 60_000, 30_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -28,20 +28,24 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Per-language log frequencies of words and of n-grams of each length."""
+    """Per-language log frequencies of words (n = 0) and of n-grams of each length.
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]], floors: list[np.ndarray]):
-        self.langs, self.tables, self.floors = langs, tables, floors
+    ``places[n]`` maps an entry to its row of ``tables[n]``; row 0 is for entries never seen.
+    """
+
+    def __init__(self, langs: list[str], places: list[dict[str, int]], tables: list[np.ndarray]):
+        self.langs, self.places, self.tables = langs, places, tables
 
     def score(self, word: str) -> np.ndarray:
         """Log score of a lower-case word in each language; zeros if nothing of it was ever seen."""
-        got = self.tables[0].get(word)
-        if got is not None:
-            return got
+        at = self.places[0].get(word)
+        if at is not None:
+            return self.tables[0][at]
         for n in range(LONGEST, 0, -1):
-            known = [self.tables[n].get(g) for g in grams(word, n)]
-            if any(k is not None for k in known):
-                return np.mean([self.floors[n] if k is None else k for k in known], axis=0)
+            get = self.places[n].get
+            known = [get(g, 0) for g in grams(word, n)]
+            if any(known):
+                return self.tables[n][known].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -80,28 +84,28 @@ def training_counts(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Fit on labelled rows; the tables kept are the most frequent entries, a bound on what is broadcast."""
-    from .common import materialize
-
     counts = materialize(training_counts(docs, max_rows), "lang")
     totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("total")).collect()
     langs = sorted({r["lang"] for r in totals})
     total = {(r["lang"], r["n"]): r["total"] for r in totals}
-    tables, floors = [], []
+    places, tables = [], []
     by = F.create_map(*[x for k, lang in enumerate(langs) for x in (F.lit(lang), F.lit(k))]) if langs else None
     for n in range(LONGEST + 1):
         size = np.array([total.get((lang, n), 0) + 1 for lang in langs], float)
-        floor = np.log(0.5 / size).astype(np.float32)
-        floors.append(floor)
-        table: dict[str, np.ndarray] = {}
+        floor = np.log(0.5 / size)
+        place, rows = {}, [floor]
         if langs:
             top = counts.where(F.col("n") == n).groupBy("item").agg(F.sum("c").alias("c"), F.collect_list(F.struct(by[F.col("lang")].alias("k"), "c")).alias("by"))
-            for r in top.orderBy(F.desc("c"), "item").limit(max_grams if n else max_words).collect():
+            kept = top.orderBy(F.desc("c"), "item").limit(max_grams if n else max_words).toArrow()  # a bound on what is broadcast
+            for item, pairs in zip(kept.column("item").to_pylist(), kept.column("by").to_pylist(), strict=True):
                 row = floor.copy()
-                for x in r["by"]:
+                for x in pairs:
                     row[x["k"]] = math.log(x["c"] / size[x["k"]])
-                table[r["item"]] = row
-        tables.append(table)
-    return Model(langs, tables, floors)
+                place[item] = len(rows)
+                rows.append(row)
+        places.append(place)
+        tables.append(np.array(rows, np.float32).reshape(len(rows), len(langs)))
+    return Model(langs, places, tables)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

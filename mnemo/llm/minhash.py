@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .blocks import block_pairs
 from .common import connected_components, materialize
-from .shingles import Icws, Words, document_frequencies, idf_table, similarity, weighted
+from .lexer import words_of
+from .shingles import Icws, document_frequencies, idf_table, similarity, weighted
 
 #: 16 bands of 5 samples: a pair at 0.8 shares a band with probability 0.998.
 BANDS, WIDTH = 16, 5
@@ -32,7 +33,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, width: int
     """(doc_id, key, sig): ``key`` is a hash of the words, null where there are none."""
 
     def run(batches):
-        words, icws = Words(), Icws(bands * width)
+        icws = Icws(bands * width)
 
         def close():
             sets = [s for s in held if len(s[2])]
@@ -43,8 +44,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, width: int
 
         held, size = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = words.of(text)
+            for doc, found in zip(batch.column(0).to_pylist(), words_of(batch.column(1).to_pylist()), strict=True):
                 hashes, weights = weighted(found, idf)
                 held.append((doc, xxhash.xxh128_digest(found.tobytes()) if len(found) else None, hashes, weights))
                 size += len(hashes)
@@ -64,11 +64,10 @@ def shingle_sets(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """(node, hashes, weights): 32-bit shingle hashes in ascending order and their weights."""
 
     def run(batches):
-        words = Words()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes, weights = weighted(words.of(text), idf)
+            for doc, words in zip(batch.column(0).to_pylist(), words_of(batch.column(1).to_pylist()), strict=True):
+                hashes, weights = weighted(words, idf)
                 short, first = np.unique((hashes >> np.uint64(32)).astype(np.uint32), return_index=True)
                 rows.append((doc, short.astype("<u4").tobytes(), weights[first].astype("<f4").tobytes()))
                 if len(rows) == 500:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from .common import WordHashes
+from .lexer import mix, words_of
 
-WORD = re.compile(r"\w+")
 SHINGLE = 5
 #: Counters of the document-frequency sketch: rows x width.
 ROWS, WIDTH, CHUNK = 2, 1 << 16, 1024
@@ -19,29 +15,6 @@ U = np.uint64
 _P = U(0x9E3779B97F4A7C15)
 
 
-class Words:
-    """Word hashes of texts; one per worker and pass."""
-
-    def __init__(self):
-        self.seen = WordHashes(xxhash.xxh64_intdigest)
-        self.rows = np.zeros(0, U)
-
-    def of(self, text: str | None) -> np.ndarray:
-        self.seen.trim()
-        ids = list(map(self.seen.__getitem__, WORD.findall(text.lower()))) if text else []
-        if len(self.seen.rows) < len(self.rows):
-            self.rows = self.rows[:0]
-        if len(self.seen.rows) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.array(self.seen.rows[len(self.rows):], U)])
-        return self.rows[ids]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 def shingle_hashes(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     """Hashes of all runs of ``n`` words; a shorter text is one shingle of all its words."""
     if not len(words):
@@ -67,10 +40,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     from pyspark.sql import functions as F
 
     def count(batches):
-        words, table, n = Words(), np.zeros((ROWS, WIDTH), np.int64), 0
+        table, n = np.zeros((ROWS, WIDTH), np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = np.unique(shingle_hashes(words.of(text)))
+            for words in words_of(batch.column(0).to_pylist()):
+                found = np.unique(shingle_hashes(words))
                 n += len(found) > 0
                 for row, at in zip(table, cells(found), strict=True):
                     row += np.bincount(at, minlength=WIDTH) if len(at) > 8192 else 0

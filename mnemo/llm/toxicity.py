@@ -22,8 +22,8 @@ from .common import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows fitted on, words kept, and documents of the sample a word must occur in.
-MAX_ROWS, MAX_WORDS, MIN_DOCS = 6000, 8000, 4
-FOLDS, STEPS, RATE, L2 = 3, 150, 0.15, 1e-4
+MAX_ROWS, MAX_WORDS, MIN_DOCS = 5000, 8000, 4
+FOLDS, STEPS, RATE, L2 = 3, 120, 0.15, 1e-4
 #: category -> the value of its label column that counts as positive, in the order of the chain.
 CATEGORIES = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 
