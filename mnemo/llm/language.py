@@ -75,7 +75,7 @@ def training_counts(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
                             counts[g] += c
                 items = [k for k, c in counts.items() if c > 1 or not n]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(items)), pa.array([n] * len(items), pa.int32()), pa.array(items), pa.array([counts[k] for k in items], pa.int64())],
+                    [pa.array([lang] * len(items), pa.string()), pa.array([n] * len(items), pa.int32()), pa.array(items, pa.string()), pa.array([counts[k] for k in items], pa.int64())],
                     ["lang", "n", "item", "c"])
 
     parts = sample.select("lang", "text").mapInArrow(run, "lang string, n int, item string, c long")
