@@ -412,8 +412,8 @@ def semi_join_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id")
 
 
-@query("SELECT o_orderkey, CAST(coalesce(l.l_linenumber, 0) AS BIGINT) AS l_linenumber, coalesce(l.l_partkey, -1) AS l_partkey FROM orders LEFT JOIN (SELECT l_orderkey, min(l_linenumber) AS l_linenumber, arg_min(l_partkey, l_linenumber) AS l_partkey FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
+@query("SELECT o_orderkey, CAST(coalesce(l.l_linenumber, 0) AS BIGINT) AS l_linenumber, coalesce(l.l_partkey, -1) AS l_partkey FROM orders LEFT JOIN (SELECT l_orderkey, min(l_linenumber) AS l_linenumber, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
 def lateral_first_line(spark, sf_dir):
-    first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linenumber").alias("l_linenumber"), F.min_by("l_partkey", "l_linenumber").alias("l_partkey"))
+    first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linenumber").alias("l_linenumber"), F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("l_partkey"))
     joined = table(spark, sf_dir, "orders").select("o_orderkey").join(first, "o_orderkey", "left")
     return joined.select("o_orderkey", F.coalesce("l_linenumber", F.lit(0)).cast("long").alias("l_linenumber"), F.coalesce("l_partkey", F.lit(-1)).alias("l_partkey"))
