@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -9,11 +10,16 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the session's shared checkpoint folder and read back; without one, the plan stays lazy."""
+    """Write to the session's shared checkpoint folder and read back.
+
+    Where none is set a session on one machine uses a temporary folder; on a cluster the plan stays lazy.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return df
+        if not spark.sparkContext.master.startswith("local["):
+            return df
+        root = "file://" + tempfile.mkdtemp(prefix="mnemo-")
     path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -24,7 +30,7 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, restart: float = 0.5, iterations: int = 10, tolerance: float | None = None, cut_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, restart: float = 0.5, iterations: int = 10, tolerance: float | None = None, cut_every: int = 1) -> DataFrame:
     """(node, rank) after ``iterations`` steps v <- (1 - restart) W'v + restart v0; dangling mass goes to v0.
 
     ``seeds`` is (node, rank) and sums to 1.  ``edges`` are directed; give ``undirected(edges)`` for the other kind.
