@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pyarrow as pa  # noqa: F401
+import pytest
+from mnemo.llm import common
 from mnemo.llm.embeddings import link_vectors
 from mnemo.llm.lexer import words_of
 from mnemo.llm.minhash import drop_near_duplicates, near_duplicates
@@ -68,3 +70,26 @@ def test_vectors_match_brute_force(spark):
     assert all(got[k]["component_id"] == k % 5 for k in range(5)) and got[len(rows) - 1]["component_id"] == 7
     assert all(got[len(rows) + k]["n_links"] == 0 for k in range(5)) and got[len(rows) + 6]["n_links"] == 1
     assert link_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 30])
+def test_components_against_union_find(spark, monkeypatch, limit):
+    """Chains, repeated edges, loops and nulls; the small limit takes the star steps."""
+    monkeypatch.setattr(common, "LOCAL_EDGES", limit)
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)]
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    links = spark.createDataFrame([*edges, *edges[:9], (None, 3), (4, None)], "a long, b long").repartition(3)
+    got = [tuple(r) for r in common.connected_components(links).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in parent)
+    assert common.connected_components(links.where("a < 0")).count() == 0
