@@ -93,8 +93,7 @@ def likely(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted or plain Jaccard similarity reaches ``threshold``, with both figures."""
-    pairs = materialize(pairs, "pairs")
+    """The pairs (a, b) whose weighted or plain Jaccard similarity reaches ``threshold``, with both figures; ``pairs`` is a written table."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(shingle_sets(texts, idf), "sets")
@@ -138,7 +137,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node"))["node"].alias("centre")).where("n > 1")
     held = materialize(rows.join(shared.select("bucket", "centre"), "bucket"), "buckets")
     stars = held.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = materialize(verified(likely(stars, nodes, least), texts, idf, threshold).select("a", "b"), "links")
+    links = materialize(verified(materialize(likely(stars, nodes, least), "pairs"), texts, idf, threshold).select("a", "b"), "links")
     found = connected_components(links)
 
     # buckets that still hold several components: every two members of different components, by samples
@@ -158,11 +157,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[js], ids[i])), pa.array(np.maximum(ids[js], ids[i]))], ["a", "b"])
 
     more = block_pairs(member.select("bucket", "id", "component", "sig"), BLOCK, compare, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(verified(more, texts, idf, threshold).select("a", "b"), "links")
+    more = materialize(more, "pairs")
     if more.isEmpty():
         merged = found
     else:
-        merged = connected_components(links.unionByName(more))
+        merged = connected_components(links.unionByName(verified(more, texts, idf, threshold).select("a", "b")))
     named = nodes.select("key", "node").join(merged.withColumnRenamed("id", "node"), "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
     out = sigs.select("doc_id", "key").join(named, "key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
