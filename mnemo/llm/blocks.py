@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,16 +29,17 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def block_pairs(members: DataFrame, block: int, compare: Callable, schema: str) -> DataFrame:
+def block_pairs(members: DataFrame, block: int, compare: Callable, schema: str, size: Column | None = None, block_bytes: int = 16_000_000) -> DataFrame:
     """Give ``compare`` every two members of a bucket together exactly once.
 
     ``members`` has ``bucket``, ``id`` and more columns.  A bucket of n members is dealt into
-    ceil(n / block) blocks; each pair of blocks (and each block with itself) is one unit of work of about
+    ceil(n / block) blocks, or more where its ``size`` (bytes of a member) asks for blocks of ``block_bytes``; each pair of blocks (and each block with itself) is one unit of work of about
     2 * block rows, so no task holds a whole bucket.  ``compare(table, same)`` gets the rows of a unit
     (column ``side`` is 0 or 1) and yields record batches; within a block all rows have side 0.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    total = F.sum(F.lit(0) if size is None else size)
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), total.alias("bytes")).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("bytes") / F.lit(block_bytes))).cast("int")
     dealt = members.join(sizes.select("bucket", parts.alias("parts")), "bucket").withColumn("own", F.expr("cast(pmod(xxhash64(id, 7), parts) as int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     units = dealt.withColumn("other", other).select(

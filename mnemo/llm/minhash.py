@@ -6,7 +6,8 @@ the plain one of its shingle sets, reaches the threshold (frequent shingles weig
 large group would otherwise drift below it).  Classes are the connected components.
 
 Inside a bucket members are first compared with one centre each, which joins groups of copies in linear work;
-what is then still apart in a bucket is compared by samples in blocks, so large buckets lose nothing.
+what is then still apart in a bucket is compared and verified in blocks, so large buckets lose nothing and
+no row is made for a pair that is not a link.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .blocks import block_pairs
 from .common import connected_components, materialize
 from .lexer import words_of
-from .shingles import Icws, document_frequencies, idf_table, similarity, weighted
+from .shingles import Icws, document_frequencies, idf_table, similarities, similarity, weighted
 
 #: 16 bands of 5 samples: a pair at 0.8 shares a band with probability 0.998.
 BANDS, WIDTH = 16, 5
@@ -92,11 +93,16 @@ def likely(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The shingle sets of the documents in ``ids``, as a written table."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return materialize(shingle_sets(texts, idf), "sets")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted or plain Jaccard similarity reaches ``threshold``, with both figures; ``pairs`` is a written table."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(shingle_sets(texts, idf), "sets")
+    sets = sets_of(ids, docs, idf)
 
     def side(x: str) -> DataFrame:
         return sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"), F.col("weights").alias(f"w{x}"))
@@ -133,35 +139,45 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     texts = docs.select("doc_id", "text")
 
     parts = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 4 * width * b + 1, 4 * width)) for b in range(bands)))
-    rows = nodes.select("node", F.explode(parts).alias("bucket"))
+    rows = nodes.select("node", F.posexplode(parts).alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node"))["node"].alias("centre")).where("n > 1")
     held = materialize(rows.join(shared.select("bucket", "centre"), "bucket"), "buckets")
     stars = held.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     links = materialize(verified(materialize(likely(stars, nodes, least), "pairs"), texts, idf, threshold).select("a", "b"), "links")
     found = connected_components(links)
 
-    # buckets that still hold several components: every two members of different components, by samples
-    member = held.select("bucket", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("bucket", F.col("node").alias("id"), F.coalesce("component", "node").alias("component"))
+    # buckets that still hold several components: every two members of different components, verified where they meet
+    member = held.select("bucket", "band", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("bucket", "band", F.col("node").alias("id"), F.coalesce("component", "node").alias("component"))
     open_ = member.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y and n > 2").select("bucket")
-    member = member.join(open_, "bucket").join(nodes.select(F.col("node").alias("id"), "sig"), "id")
+    member = materialize(member.join(open_, "bucket"), "open")
 
     def compare(table: pa.Table, same: bool):
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(table.num_rows, -1)
-        ids, comp, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
+        band = table.column("band")[0].as_py()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(table.num_rows, bands, width)
+        hashes, weights = ([np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("hashes", "<u4"), ("weights", "<f4")))
+        ids, label, side = (table.column(c).to_numpy().copy() for c in ("id", "component", "side"))
         left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
+        made = []
         for i in left.tolist():
-            js = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if same else True)]
-            js = js[(sig[js] == sig[i]).sum(axis=1) >= least]
+            js = right[(label[right] != label[i]) & ((ids[right] > ids[i]) if same else True)]
+            equal = sig[js] == sig[i]
+            # a pair meets in each band it shares; its first is the one that counts
+            js = js[(equal.all(axis=2).argmax(axis=1) == band) & (equal.sum(axis=(1, 2)) >= least)]
             if len(js):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[js], ids[i])), pa.array(np.maximum(ids[js], ids[i]))], ["a", "b"])
-
-    more = block_pairs(member.select("bucket", "id", "component", "sig"), BLOCK, compare, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(more, "pairs")
-    if more.isEmpty():
-        merged = found
-    else:
-        merged = connected_components(links.unionByName(verified(more, texts, idf, threshold).select("a", "b")))
+                for j in js[similarities((hashes[i], weights[i]), [hashes[j] for j in js], [weights[j] for j in js]) >= threshold].tolist():
+                    if label[j] != label[i]:  # one link joins two components, further ones add nothing
+                        made.append((int(ids[i]), int(ids[j])))
+                        label[label == label[j]] = label[i]
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], ["a", "b"])
+
+    merged = found
+    if not member.isEmpty():
+        sets = sets_of(member.select(F.col("id").alias("doc_id")).distinct(), texts, idf)
+        whole = member.join(nodes.select(F.col("node").alias("id"), "sig"), "id").join(sets.withColumnRenamed("node", "id"), "id")
+        more = block_pairs(whole.select("bucket", "id", "band", "component", "sig", "hashes", "weights"), BLOCK, compare, "a long, b long", F.length("hashes") + F.length("weights"))
+        merged = connected_components(links.unionByName(more))
     named = nodes.select("key", "node").join(merged.withColumnRenamed("id", "node"), "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
     out = sigs.select("doc_id", "key").join(named, "key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

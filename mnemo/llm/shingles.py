@@ -119,3 +119,15 @@ def similarity(a: tuple, b: tuple) -> tuple[float, float]:
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = float(np.minimum(a[1][i], b[1][j]).sum(dtype=float))
     return both / (float(a[1].sum(dtype=float)) + float(b[1].sum(dtype=float)) - both), len(i) / (len(a[0]) + len(b[0]) - len(i))
+
+
+def similarities(a: tuple, hashes: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """The larger of the weighted and the plain Jaccard similarity of ``a`` with each of several sets."""
+    sizes = np.array([len(h) for h in hashes])
+    owner, found, weight = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(hashes), np.concatenate(weights).astype(float)
+    at = np.minimum(np.searchsorted(a[0], found), len(a[0]) - 1)
+    hit = a[0][at] == found
+    both = np.bincount(owner[hit], minlength=len(sizes))
+    shared = np.bincount(owner[hit], np.minimum(a[1][at[hit]], weight[hit]), len(sizes))
+    total = np.bincount(owner, weight, len(sizes))
+    return np.maximum(both / (len(a[0]) + sizes - both), shared / (float(a[1].sum(dtype=float)) + total - shared))

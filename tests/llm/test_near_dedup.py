@@ -93,3 +93,34 @@ def test_components_against_union_find(spark, monkeypatch, limit):
     got = [tuple(r) for r in common.connected_components(links).collect()]
     assert sorted(got) == sorted((x, find(x)) for x in parent)
     assert common.connected_components(links.where("a < 0")).count() == 0
+
+
+def test_group_of_edited_copies_against_all_pairs(spark):
+    """Edits of one text that are far from each other, and chains between them: more than one block of a bucket."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        for at in rng.sample(range(100), 1 + k % 4):
+            text[at] = f"x{rng.randrange(40)}"
+        rows.append((k, " ".join(text)))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(96)} for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.83:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    got = dict(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all(got[k] == got[label[k]] for k in range(len(rows)))
+
+
+def test_similarities_of_one_set_with_several():
+    from mnemo.llm.shingles import similarities
+
+    rng = np.random.default_rng(4)
+    sets = [(np.unique(rng.integers(0, 60, 40)).astype(np.uint32), None) for _ in range(12)]
+    sets = [(h, rng.random(len(h)).astype(np.float32) + 1) for h, _ in sets]
+    got = similarities(sets[0], [h for h, _ in sets], [w for _, w in sets])
+    assert np.allclose(got, [max(similarity(sets[0], s)) for s in sets])
