@@ -23,8 +23,8 @@ from .common import connected_components, materialize
 from .lexer import words_of
 from .shingles import Icws, document_frequencies, idf_table, similarities, similarity, weighted
 
-#: 16 bands of 5 samples: a pair at 0.8 shares a band with probability 0.998.
-BANDS, WIDTH = 16, 5
+#: 20 bands of 5 samples: a pair at 0.8 shares a band with probability 0.9996.
+BANDS, WIDTH = 20, 5
 #: Shingles sampled at once, members of a block, and how many standard deviations below the
 #: threshold the share of equal samples may lie before a pair is not verified.
 SLICE, BLOCK, SLACK = 60_000, 512, 4.0
