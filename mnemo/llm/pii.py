@@ -27,6 +27,8 @@ ADDED = {
     "national_phone": r"(?<![A-Za-z0-9+)-])\(?[0-9]{2,5}\)?(?:[ /-][0-9]{2,8}){1,4}+(?![0-9-])",
 }
 ORDER = [*BASE, *ADDED]
+#: What every match of a kind holds; texts without it are not scanned.
+LIKELY = {"ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": "[0-9]{2}", "national_phone": "[0-9]{2}"}
 #: Score of a confirmed span, and what a context word within ``WINDOW`` code points before it adds.
 SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_phone": 0.3}
 CONTEXT = {
@@ -99,7 +101,7 @@ def _confirmed(kind: str, found: Column) -> Column:
 def _spans(text: Column, kind: str) -> Column:
     """Confirmed spans of a kind with their scores; cheap tests first spare most texts the scan."""
     pattern = (BASE | ADDED)[kind]
-    likely = F.contains(text, F.lit("@")) if kind == "email" else text.rlike("[0-9]{2}" if kind not in ("ip", "phone") else r"[0-9]\.[0-9]" if kind == "ip" else r"\+[0-9]")
+    likely = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(LIKELY[kind])
     sure = F.filter(_matches(text, kind, pattern), lambda s: _confirmed(kind, s["found"]))
 
     def scored(s):

@@ -65,6 +65,17 @@ def test_added_spans_and_masks(spark):
     assert mask_pii(docs.limit(0)).columns == docs.columns and mask_pii(docs.limit(0)).count() == 0
 
 
+def test_digits_parted_one_by_one(spark):
+    """No two digits are adjacent in these texts."""
+    texts = ["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 end", "4 1 1 1-1 1 1 1 1 1 1 1 1 1 1 2", "+1 (5) 5-5 5 5-8 5 9 0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii_digest(docs).collect()}
+    for k, text in enumerate(texts):
+        assert got[k]["base_sha256"] == hashlib.sha256(",".join(brute(text)).encode()).hexdigest(), (k, got[k]["spans"])
+    assert [got[k]["n_card"] for k in range(3)] == [1, 1, 0]
+    assert {r["doc_id"]: r["text"] for r in mask_pii(docs).collect()}[1] == "card [CARD] end"
+
+
 def test_mod97(spark):
     row = spark.range(1).select(mod97(F.lit("GB82WEST12345698765432")).alias("a"), mod97(F.lit("GB82WEST12345698765433")).alias("b")).first()
     assert row["a"] and not row["b"]
