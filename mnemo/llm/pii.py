@@ -23,12 +23,17 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 ADDED = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11})",  # where one may start; _ibans finds the end
     "national_phone": r"(?<![A-Za-z0-9+)-])\(?[0-9]{2,5}\)?(?:[ /-][0-9]{2,8}){1,4}+(?![0-9-])",
 }
 ORDER = [*BASE, *ADDED]
 #: What every match of a kind holds; texts without it are not scanned.
 LIKELY = {"ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": "[0-9]{2}", "national_phone": "[0-9]{2}"}
+#: Characters of an IBAN by country (registry and those in use beside it); other codes may have 15 to 34.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 #: Score of a confirmed span, and what a context word within ``WINDOW`` code points before it adds.
 SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_phone": 0.3}
 CONTEXT = {
@@ -58,6 +63,35 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
+def _ibans(text: Column) -> Column:
+    """Valid IBANs as array<struct<start,end,kind,rank,found>>, leftmost first where they overlap.
+
+    From each start the run of capitals, digits and single spaces is cut to the country's length, or for other
+    codes to the longest of 15 to 34 characters that passes; what follows the cut must not be a letter or digit.
+    """
+    lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+    starts = F.aggregate(
+        F.split(text, ADDED["iban"], -1), F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out")),
+        lambda acc, piece: F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def cut(start):
+        ahead = F.substring(text, (start + 1).cast("int"), F.lit(68))  # 34 characters, 33 spaces and what follows
+        prescribed = F.element_at(lengths, F.substring(ahead, 1, 2))
+        tried = F.when(prescribed.isNotNull(), F.array(prescribed)).otherwise(F.sequence(F.lit(34), F.lit(15), F.lit(-1)))
+        found = F.transform(tried, lambda n: F.call_function(
+            "regexp_extract", ahead, F.concat(F.lit("^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){"), (n - 4).cast("string"), F.lit("}(?![A-Za-z0-9])")), F.lit(0)))
+        return F.struct(start.alias("start"), F.get(F.filter(found, lambda f: (f != "") & _confirmed("iban", f)), F.lit(0)).alias("found"))
+
+    def step(acc, s):
+        end = s["start"] + F.length(s["found"])
+        span = F.struct(s["start"].alias("start"), end.alias("end"), F.lit("iban").alias("kind"), F.lit(ORDER.index("iban")).alias("rank"), s["found"].alias("found"))
+        return F.when(s["start"] >= acc["at"], F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))).otherwise(acc)
+
+    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:string,rank:int,found:string>>)")
+    valid = F.filter(F.transform(starts, cut), lambda s: s["found"].isNotNull())
+    return F.aggregate(valid, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+
 def _digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
 
@@ -102,7 +136,7 @@ def _spans(text: Column, kind: str) -> Column:
     """Confirmed spans of a kind with their scores; cheap tests first spare most texts the scan."""
     pattern = (BASE | ADDED)[kind]
     likely = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(LIKELY[kind])
-    sure = F.filter(_matches(text, kind, pattern), lambda s: _confirmed(kind, s["found"]))
+    sure = _ibans(text) if kind == "iban" else F.filter(_matches(text, kind, pattern), lambda s: _confirmed(kind, s["found"]))
 
     def scored(s):
         before = F.substring(text, F.greatest(s["start"] - WINDOW + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(WINDOW)).cast("int"))

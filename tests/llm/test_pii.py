@@ -76,6 +76,20 @@ def test_digits_parted_one_by_one(spark):
     assert {r["doc_id"]: r["text"] for r in mask_pii(docs).collect()}[1] == "card [CARD] end"
 
 
+def test_ibans_end_where_their_country_says(spark):
+    de, spaced, gb, no = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    texts = {f"{de} Please pay": [de], f"to {spaced} BIC COBADEFFXXX": [spaced], f"{spaced} 12 May": [spaced], f"é {spaced} {gb} {no} X": [spaced, gb, no],
+             f"AB12 CD34 {gb} EUR 5": [gb], f"{de}Please {de}1": [], f"x{de}": [], "DE88370400440532013000 Please": [], f"NO12 3456 {gb}": [gb], "": []}
+    body = "ZZ1234567890ABCDEFG"  # a country that is not in the table
+    check = 98 - int("".join(str(int(c, 36)) for c in body + "ZZ00")) % 97
+    other = f"ZZ{check:02d}{body}"
+    texts[f"{other} and {other} Then"] = [other, other]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    spans = {r[0]: [x for x in r[1] if x["kind"] == "iban"] for r in find_pii(docs).select("doc_id", "pii_spans").collect()}
+    for k, (text, want) in enumerate(texts.items()):
+        assert [text[s["start"]:s["end"]] for s in spans[k]] == want, text
+
+
 def test_mod97(spark):
     row = spark.range(1).select(mod97(F.lit("GB82WEST12345698765432")).alias("a"), mod97(F.lit("GB82WEST12345698765433")).alias("b")).first()
     assert row["a"] and not row["b"]
