@@ -1,9 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question asked again with other values keeps its
-template.  Windows of the templates are hash-joined; the values that filled the placeholders must then map
+template.  Windows of the templates, and of the lower-cased tokens themselves, are hash-joined; the values that filled the placeholders must then map
 consistently: on one alignment a value of the benchmark item always stands for one value of the document.
 A document is contaminated by an item if consistent windows cover enough of its tokens.
+
+Template windows need a few literal tokens, and whether a token is a name depends on what is before it.  The windows of
+the tokens themselves need neither, so a verbatim copy is found whatever its numbers, names, case and line breaks.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ UNITS = frozenset(
     "months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards gram grams "
     "kilogram kilograms pound pounds ounce ounces liter liters litre litres percent dollar dollars euro euros cent cents degree degrees mph kmh "
     "hz khz mhz v w kw kwh j kj".split())
-#: Tokens of a window, tokens that consistent windows must cover, and literal tokens a window needs.
+#: Tokens of a window, tokens that consistent windows must cover, and literal tokens a template window needs.
 WINDOW, COVER, LITERAL = 8, 13, 4
 #: Benchmark windows that one pass over the documents looks up; longer lists go in blocks.
 BLOCK = 2_000_000
@@ -57,11 +60,14 @@ def window_hashes(canon: np.ndarray, n: int) -> np.ndarray:
     return total ^ (total >> U(29))
 
 
-def _windows(t: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, number of literal tokens) of each window."""
-    canon, kind, _ = t
+def _windows(t: tuple, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each window: of the templates with ``least`` literal tokens, then of the tokens where they differ."""
+    canon, kind, raw = t
+    template, plain = window_hashes(canon, n), window_hashes(raw, n)
     literal = np.concatenate([[0], np.cumsum(kind == WORD_)])
-    return window_hashes(canon, n), literal[n:] - literal[:-n] if len(canon) >= n else np.zeros(0, np.int64)
+    some = np.flatnonzero(literal[n:] - literal[:-n] >= least) if len(template) else np.zeros(0, np.int64)
+    other = np.flatnonzero((template != plain) | (literal[n:] - literal[:-n] < least)) if len(template) else some
+    return np.concatenate([some, other]), np.concatenate([template[some], plain[other]])
 
 
 ITEM = "item_id long, size int, at int, n int, hash long, slots binary"
@@ -77,11 +83,10 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 n = min(window, len(t[0]))
                 if n < 5:
                     continue
-                hashes, literal = _windows(t, n)
-                at = np.flatnonzero(literal >= min(LITERAL, n))
+                at, hashes = _windows(t, n, min(LITERAL, n))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([item] * len(at), pa.int64()), pa.array([len(t[0])] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array([n] * len(at), pa.int32()),
-                     pa.array(hashes[at].view(np.int64)), pa.array([t[2][k:k + n].tobytes() for k in at.tolist()], pa.binary())],
+                     pa.array(hashes.view(np.int64)), pa.array([t[2][k:k + n].tobytes() for k in at.tolist()], pa.binary())],
                     ["item_id", "size", "at", "n", "hash", "slots"])
 
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, ITEM)
@@ -95,15 +100,16 @@ def document_hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
         for batch in batches:
             for doc, t in zip(batch.column(0).to_pylist(), templates(batch.column(1).to_pylist()), strict=True):
                 for n, known in spread.value.items():
-                    hashes = window_hashes(t[0], n)
+                    at, hashes = _windows(t, n, 0)
                     if not len(hashes):
                         continue
                     low = np.searchsorted(known, hashes)
-                    at = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == hashes)
+                    hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == hashes)
+                    at, hashes = at[hit], hashes[hit]
                     if len(at):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([n] * len(at), pa.int32()),
-                             pa.array(hashes[at].view(np.int64)), pa.array([t[2][k:k + n].tobytes() for k in at.tolist()], pa.binary())],
+                             pa.array(hashes.view(np.int64)), pa.array([t[2][k:k + n].tobytes() for k in at.tolist()], pa.binary())],
                             ["doc_id", "pos", "n", "hash", "slots"])
 
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, HIT)

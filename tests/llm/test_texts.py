@@ -33,6 +33,19 @@ def test_decontamination_finds_new_values_and_checks_slots(spark):
     assert contaminations(docs.limit(0), bench).count() == 0 and contaminations(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_verbatim_copies_of_few_literals(spark):
+    items = ["Compute 12 + 7 x 5 - 3 + 18 * 4 / 2 - 9 + 33 - 1 + 6", "Name the order: Mercury Venus Earth Mars Jupiter Saturn Uranus Neptune Pluto Ceres Eris Haumea",
+             "Which planet is the closest one to the sun in our system?", "In which year did Ada Lovelace write to Charles Babbage about Bernoulli numbers in London", "1 2 3 4 5 6"]
+    copies = [(0, f"So: {items[0]} = ?", 0), (1, f"See here. {items[1]}, and more.", 1), (2, f"Question: {items[2]} Answer: none", 2),
+              (3, "and " + items[3].lower() + " again", 3), (4, items[3].replace("Ada", "\nAda").replace("Charles", "\nCharles").replace("Bernoulli", "\nBernoulli"), 3), (5, "a 1 2 3 4 5 6 b", 4)]
+    clean = [(10, "Compute 11 + 8 x 6 - 2 + 17 * 5 / 3 - 8 + 32 - 2 + 7", -1), (11, "1 2 3 4 5 7", -1), (12, "Which planet is far", -1)]
+    docs = spark.createDataFrame([r[:2] for r in copies + clean], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in contaminations(docs, bench).collect()}
+    assert set(found) == {(d, i) for d, _, i in copies}
+    assert all(r["covered"] == r["n_tokens"] and r["changed"] == 0 for r in found.values())
+
+
 def test_toxicity_learns_and_filters(spark):
     random.seed(1)
     rows, labels = [], []
