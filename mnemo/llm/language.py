@@ -18,7 +18,7 @@ from .common import WordHashes, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-#: Training rows a language may give (lowest hashes of doc_id first), and entries kept of each table.
+#: Training rows a language may give (lowest hashes of doc_id first), and entries it may choose for each table.
 MAX_ROWS, MAX_WORDS, MAX_GRAMS = 2000, 60_000, 30_000
 
 
@@ -73,7 +73,7 @@ def training_counts(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
                     for word, c in words.items():
                         for g in grams(word, n):
                             counts[g] += c
-                items = [k for k, c in counts.items() if c > 1 or not n]
+                items = list(counts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(items), pa.string()), pa.array([n] * len(items), pa.int32()), pa.array(items, pa.string()), pa.array([counts[k] for k in items], pa.int64())],
                     ["lang", "n", "item", "c"])
@@ -82,21 +82,39 @@ def training_counts(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return parts.groupBy("lang", "n", "item").agg(F.sum("c").alias("c"))
 
 
+def chosen(hist: list[tuple[int, int]], most: int) -> tuple[int, float]:
+    """(count from which entries are kept, share of the entries with just this count) for ``most`` entries of (count, entries)."""
+    room = most
+    for c, entries in sorted(hist, reverse=True):
+        if entries >= room:
+            return c, room / entries
+        room -= entries
+    return 0, 1.0
+
+
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Fit on labelled rows; the tables kept are the most frequent entries, a bound on what is broadcast."""
+    """Fit on labelled rows; the tables keep the most frequent entries of each language, the same number for every language.
+
+    Where entries of one count do not all fit, the lowest hashes of the entries do.  An entry that one language
+    chooses has the counts of all.
+    """
     counts = materialize(training_counts(docs, max_rows), "lang")
-    totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("total")).collect()
-    langs = sorted({r["lang"] for r in totals})
-    total = {(r["lang"], r["n"]): r["total"] for r in totals}
+    hist: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in counts.groupBy("lang", "n", "c").agg(F.count(F.lit(1)).alias("entries")).collect():  # few counts differ
+        hist.setdefault((r["lang"], r["n"]), []).append((r["c"], r["entries"]))
+    langs = sorted({lang for lang, _ in hist})
     places, tables = [], []
     by = F.create_map(*[x for k, lang in enumerate(langs) for x in (F.lit(lang), F.lit(k))]) if langs else None
     for n in range(LONGEST + 1):
-        size = np.array([total.get((lang, n), 0) + 1 for lang in langs], float)
+        size = np.array([sum(c * entries for c, entries in hist.get((lang, n), [])) + 1 for lang in langs], float)
         floor = np.log(0.5 / size)
         place, rows = {}, [floor]
         if langs:
-            top = counts.where(F.col("n") == n).groupBy("item").agg(F.sum("c").alias("c"), F.collect_list(F.struct(by[F.col("lang")].alias("k"), "c")).alias("by"))
-            kept = top.orderBy(F.desc("c"), "item").limit(max_grams if n else max_words).toArrow()  # a bound on what is broadcast
+            cut = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.struct(*map(F.lit, chosen(hist.get((lang, n), []), max_grams if n else max_words))))])[F.col("lang")]
+            low = F.pmod(F.xxhash64("item"), F.lit(1 << 30)) < cut["col2"] * (1 << 30)
+            top = counts.where(F.col("n") == n).groupBy("item").agg(
+                F.max((F.col("c") > cut["col1"]) | ((F.col("c") == cut["col1"]) & low)).alias("kept"), F.collect_list(F.struct(by[F.col("lang")].alias("k"), "c")).alias("by"))
+            kept = top.where("kept").toArrow()  # a bound for each language on what is broadcast
             for item, pairs in zip(kept.column("item").to_pylist(), kept.column("by").to_pylist(), strict=True):
                 row = floor.copy()
                 for x in pairs:

@@ -72,6 +72,24 @@ def test_language_held_out(spark):
     assert identify(docs.limit(0), fit_language(docs.limit(0))).count() == 0
 
 
+def test_language_model_does_not_depend_on_partitions_or_larger_languages(spark):
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(7))
+    rows = [(k, " ".join(word("abcdefgh") for _ in range(60)) + " the the", "big") for k in range(40)] + [(100 + k, f"{word('pqrstuvw')} {word('pqrstuvw')} zyx", "small") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    entries = []
+    for parts in (1, 60):
+        model = fit_language(docs.repartition(parts, "doc_id"))
+        entries.append([{e: tuple(table[at].tolist()) for e, at in place.items()} for place, table in zip(model.places, model.tables, strict=True)])
+    assert entries[0] == entries[1]
+    seen = {g for _, t, _ in rows for w in t.split() for g in (f"<{w}>"[k:k + 5] for k in range(len(w) - 2))}
+    assert set(entries[0][5]) == {g for g in seen if len(g) == 5}
+    bounded = fit_language(docs, max_words=50, max_grams=200)
+    for lang, words in (("big", {w for _, t, x in rows if x == "big" for w in t.split()}), ("small", {w for _, t, x in rows if x == "small" for w in t.split()})):
+        assert 25 <= len(words & set(bounded.places[0])) <= 75, lang
+    assert {"the", "zyx"} <= set(bounded.places[0])
+
+
 def brute_tokens(word, pieces, floor):
     text = SPACE + word
     best = [(0.0, 0)]
