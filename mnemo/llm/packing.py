@@ -41,12 +41,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     def run(batches):
         cache = piece_cache(tokenizer_path, False)
         end = np.array([end_id], "<u4").tobytes()
+        kind = f"<u{cache.width}"
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in text_slices(texts):
                 rows = []
                 for doc, data in zip(ids[lo:hi], cache.encode(texts[lo:hi]), strict=True):
-                    data += end
+                    data = np.frombuffer(data, kind).astype("<u4").tobytes() + end
                     for k, (start, n) in enumerate(cut_pieces(len(data) // 4, capacity)):
                         part = data[4 * start:4 * (start + n)]
                         rows.append((doc, k, start, n, zlib.crc32(part), part))

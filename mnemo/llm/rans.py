@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path
-from .tokenizing import piece_cache, text_slices
+from .tokenizing import id_width, piece_cache, text_slices
 
 SCALE, LANES, EVERY, BLOCK_TOKENS = 20, 1024, 64, 1 << 18
 LOW = np.uint64(1 << 31)
@@ -119,48 +119,57 @@ def decode_segment(data: bytes, k: int, table: Table) -> np.ndarray:
     return out
 
 
+TOKENS = "doc_id long, n_tokens long, ids binary"
+
+
 def token_ids(docs: DataFrame, tokenizer_path: str, drops_white_space: bool, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids): every whole text (null: empty) and ``end_id``, as little-endian uint32."""
+    """(doc_id, n_tokens, ids): every whole text (null: empty) and ``end_id``, as little-endian ids of ``id_width`` bytes.
+
+    Each task adds one row without n_tokens, whose ids are how often it met each symbol, as 64-bit numbers.
+    """
 
     def run(batches):
         cache = piece_cache(tokenizer_path, drops_white_space)
-        end = np.array([end_id], "<u4").tobytes()
+        kind = f"<u{cache.width}"
+        end = np.array([end_id], kind).tobytes()
+        total = np.zeros(0, np.int64)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in text_slices(texts):
                 data = [d + end for d in cache.encode(texts[lo:hi])]
+                more = np.bincount(np.frombuffer(b"".join(data), kind), minlength=len(total))
+                more[:len(total)] += total
+                total = more
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi], pa.int64()), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array(data, pa.binary())],
+                    [pa.array(ids[lo:hi], pa.int64()), pa.array([len(d) // cache.width for d in data], pa.int64()), pa.array(data, pa.binary())],
                     ["doc_id", "n_tokens", "ids"])
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
 def symbol_counts(tokens: DataFrame) -> dict[int, int]:
     """How often each id occurs; at most one entry per symbol of the vocabulary reaches the driver."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
             for data in batch.column(0):
-                ids = np.frombuffer(data.as_buffer(), "<u4")
-                more = np.bincount(ids, minlength=len(total))
-                more[:len(total)] += total
-                total = more
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["symbol", "n"])
+                total = np.frombuffer(data.as_py(), "<i8")
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["symbol", "n"])
 
-    parts = tokens.select("ids").mapInArrow(run, "symbol long, n long")
+    parts = tokens.where("n_tokens is null").select("ids").mapInArrow(run, "symbol long, n long")
     return {r["symbol"]: r["n"] for r in parts.groupBy("symbol").agg(F.sum("n").alias("n")).collect()}
 
 
-BLOCKS = "part int, block int, n_docs int, n_tokens long, local_start long, doc_ids binary, lengths binary, payload binary"
+BLOCKS = "part int, block int, n_docs int, n_tokens long, local_start long, doc_ids array<long>, lengths binary, payload binary"
 
 
-def write_token_files(tokens: DataFrame, path: str) -> None:
-    """Write ``tokens`` (doc_id, n_tokens, ids) to ``path`` in ascending doc_id order.
+def write_token_files(tokens: DataFrame, path: str, width: int) -> None:
+    """Write ``tokens``, the written result of ``token_ids``, to ``path`` in ascending doc_id order, rows without one first.
 
-    Rows are range-partitioned by doc_id; ties (repeated doc_ids) are ordered by their ids.
+    Rows are range-partitioned by doc_id; ties (repeated doc_ids) are ordered by their ids, which have ``width`` bytes.
     """
     counts = symbol_counts(tokens)
     dense = np.zeros(max(counts, default=-1) + 1, np.int64)
@@ -176,18 +185,18 @@ def write_token_files(tokens: DataFrame, path: str) -> None:
         size = 0
 
         def close():
-            ids = np.frombuffer(b"".join(d for _, d in held), "<u4")
-            doc_ids = np.array([d for d, _ in held], "<i8").tobytes()
-            lengths = np.array([len(d) // 4 for _, d in held], "<i8").tobytes()
+            ids = np.frombuffer(b"".join(d for _, d in held), f"<u{width}")
+            doc_ids = [d for d, _ in held]
+            lengths = np.array([len(d) // width for _, d in held], "<i8").tobytes()
             cells = [[part], [block], [len(held)], [len(ids)], [start], [doc_ids], [lengths], [encode_block(ids, table)]]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             names = [c.split()[0] for c in BLOCKS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names)
 
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held.append((doc, data.as_py()))
-                size += len(held[-1][1]) // 4
+                size += len(held[-1][1]) // width
                 if size >= BLOCK_TOKENS:
                     yield close()
                     block, start, size = block + 1, start + size, 0
@@ -195,7 +204,7 @@ def write_token_files(tokens: DataFrame, path: str) -> None:
         if held:
             yield close()
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.where("n_tokens is not null").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
 
 
@@ -217,12 +226,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for doc_ids, lengths, payload, start in zip(*(batch.column(k) for k in range(4)), strict=True):
                 ids = decode_block(payload.as_py(), table).astype("<u4")
-                docs, n = np.frombuffer(doc_ids.as_py(), "<i8"), np.frombuffer(lengths.as_py(), "<i8")
+                docs, n = doc_ids.as_py(), np.frombuffer(lengths.as_py(), "<i8")
                 ends = np.cumsum(n)
                 data = ids.tobytes()
                 texts = [data[4 * (e - m):4 * e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs), pa.array(start.as_py() + ends - n), pa.array(n), pa.array(texts, pa.binary())],
+                    [pa.array(docs, pa.int64()), pa.array(start.as_py() + ends - n), pa.array(n), pa.array(texts, pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids"])
 
     placed = blocks.join(parts, "part").select("doc_ids", "lengths", "payload", (F.col("local_start") + F.col("shift")).alias("start"))
@@ -232,9 +241,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def encode_documents(docs: DataFrame, tokenizer_path: str, drops_white_space: bool, end_id: int, path: str | None = None) -> str:
     """Tokenise whole texts and write them as token files; returns the path of the file set.
 
-    Null texts count as empty and hold only ``end_id``; repeated rows are written once each; an empty
+    Null texts count as empty and hold only ``end_id``; rows without doc_id come first; repeated rows are written once each; an empty
     table gives an empty file set; columns other than doc_id and text are ignored.
     """
     path = path or new_path(docs.sparkSession, "tokens")
-    write_token_files(materialize(token_ids(docs, tokenizer_path, drops_white_space, end_id), "ids"), path)
+    write_token_files(materialize(token_ids(docs, tokenizer_path, drops_white_space, end_id), "ids"), path, id_width(tokenizer_path))
     return path

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Entries of one generation of a worker's cache; two generations are kept.
-CACHE_LIMIT = 500_000
+CACHE_LIMIT = 250_000
 _IRREGULAR = re.compile(r" \s|\s ")
 _RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_CODES = {2: "H", 4: "I"}
 _MARKS = frozenset(".,;:!?")
+#: Letters below this one are their own normal form; the dotted capital I alone has a lower case of two.
+_LATIN_END, _DOTTED_I = "\u0250", "\u0130"
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,22 +28,45 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def id_width(path: str) -> int:
+    """Bytes of an id: two where the whole vocabulary fits, else four."""
+    from tokenizers import Tokenizer
+
+    return width_of(Tokenizer.from_file(path))
+
+
+def width_of(tokenizer) -> int:
+    return 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes stand for themselves, the others for the letters from 256 on.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class _Cuts(dict):
-    """cut -> its ids as little-endian uint32 bytes; unseen cuts are encoded on first use.
+    """cut -> its ids as little-endian bytes; unseen cuts are encoded on first use.
 
-    A mark after a letter is always a split of its own, and so is a line break between two visible
+    A word of Latin letters is one piece for both tokenizers, so the merges alone decide its ids.  A mark after a letter is always a split of its own, and so is a line break between two visible
     characters: such cuts are put together from their parts.
     """
 
-    def __init__(self, encode, before: str, lower: bool, bare: _Cuts | None = None):
+    def __init__(self, encode, merged, before: str, lower: bool, bare: _Cuts | None = None):
         super().__init__()
-        self.encode, self.before, self.lower, self.old = encode, before, lower, {}
+        self.encode, self.merged, self.before, self.lower, self.old = encode, merged, before, lower, {}
         self.bare = self if bare is None else bare
 
     def __missing__(self, cut: str) -> bytes:
         made = self.old.get(cut)
         if made is None:
-            if len(cut) > 1 and cut[-1] in _MARKS and cut[-2].isalpha():
+            if cut.isalpha() and (cut.isascii() or max(cut) < _LATIN_END and _DOTTED_I not in cut):
+                made = self.merged(self.before, cut.lower() if self.lower else cut)
+            elif len(cut) > 1 and cut[-1] in _MARKS and cut[-2].isalpha():
                 made = self[cut[:-1]] + self.bare[cut[-1]]
             elif "\n" in cut and not self.lower and (found := re.fullmatch(r"(\S+)\n(\S+)", cut)):
                 made = self[found[1]] + self.bare["\n"] + self.bare[found[2]]
@@ -65,37 +91,41 @@ class PieceCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.width = width_of(self.tokenizer)
+        self.letters = byte_letters()
         self.drops = drops_white_space
-        self.bare = _Cuts(self.encode_whole, "", drops_white_space)
-        self.spaced = self.bare if drops_white_space else _Cuts(self.encode_whole, " ", False, self.bare)
+        self.bare = _Cuts(self.encode_whole, self.merged, "", drops_white_space)
+        self.spaced = self.bare if drops_white_space else _Cuts(self.encode_whole, self.merged, " ", False, self.bare)
 
     def encode_whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def merged(self, before: str, word: str) -> bytes:
+        """The ids of one piece of letters: its bytes as letters of the vocabulary, merged."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return self.packed([t.id for t in self.tokenizer.model.tokenize(self.letters[32] + word if before else word)])
+
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(_CODES[self.width], ids)
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes; null counts as empty."""
+        """Ids of each text as little-endian unsigned integers of ``width`` bytes; null counts as empty."""
         self.bare.age()
         self.spaced.age()
-        get, made, unseen = self.spaced.get, [], set()
+        spaced, join, out = self.spaced.__getitem__, b"".join, []
         for text in texts:
             text = text or ""
-            if not self.drops and self._irregular(text):
-                made.append(([self.encode_whole(text)], (), ()))
-                continue
-            head, cuts = [], (text.replace("\n", " ") if self.drops else text).split(" ")
-            if not self.drops:
-                head.append(self.bare[cuts[0]] if cuts[0] else b"")
-                del cuts[0]
-            ids = list(map(get, cuts))
-            holes = [k for k, x in enumerate(ids) if x is None] if None in ids else ()
-            unseen.update(self._stem(cuts[k]) for k in holes)
-            made.append((head, ids, [(k, cuts[k]) for k in holes]))
-        self._learn([c for c in unseen if c.isalpha() and c not in self.spaced and c not in self.spaced.old])
-        out = []
-        for head, ids, holes in made:
-            for k, cut in holes:
-                ids[k] = self.spaced[cut]
-            out.append(b"".join(head) + b"".join(ids))
+            if self.drops:
+                out.append(join(map(spaced, text.replace("\n", " ").split(" "))))
+            elif self._irregular(text):
+                out.append(self.encode_whole(text))
+            else:
+                first, *rest = text.split(" ")
+                out.append((self.bare[first] if first else b"") + join(map(spaced, rest)))
         return out
 
     @staticmethod
@@ -106,28 +136,6 @@ class PieceCache:
         rare = not text.isascii() or any(c in text for c in _RARE_SPACE)
         return rare and _IRREGULAR.search(text) is not None
 
-    def _stem(self, cut: str) -> str:
-        while len(cut) > 1 and cut[-1] in _MARKS and cut[-2].isalpha():
-            cut = cut[:-1]
-        return cut.lower() if self.lower_case(cut) else cut
-
-    def lower_case(self, cut: str) -> bool:
-        return self.drops and cut.isascii()
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode many unseen words in one call, parted by a text that is always a token of its own."""
-        part = " | " if self.drops else "\n"
-        mark = np.frombuffer(self.encode_whole(part), "<u4")[0]
-        for k in range(0, len(words), 512):
-            some = words[k:k + 512]
-            text = part.join(some if self.drops else [" " + w for w in some])
-            ids = np.frombuffer(self.encode_whole(text), "<u4")
-            ends = np.flatnonzero(ids == mark)
-            data, start = ids.tobytes(), 0
-            for word, end in zip(some, [*ends.tolist(), len(ids)], strict=True):
-                self.spaced[word] = data[4 * start:4 * end]
-                start = end + 1
-
 
 _caches: dict[tuple, PieceCache] = {}
 
