@@ -63,7 +63,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """``x`` brought into 0..1; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def days_between(later: Column, earlier: Column) -> Column:
@@ -81,6 +82,7 @@ def candidate_score(similarity: Column, salience: Column, edge: Column | float =
     return clamp01(SCORE_SIMILARITY * similarity + SCORE_SALIENCE * salience + SCORE_EDGE * edge)
 
 
+#: Negation words, and those taken off before the comparison: only ones that stand before a phrase, with the blank after them.
 NEGATIONS = r"(?U)\bnot\b|\bno\b|\bne\b|\bn['`]a\b|\baucun"
 STRIPPED = r"(?U)\b(not|no|n['`]a)\s+"
 
@@ -143,13 +145,13 @@ def route_theme(query: Column) -> Column:
     return out
 
 
-def route_query(query: Column) -> Column:
+def route_query(query: Column, root: str = "memory") -> Column:
     """array<struct<level,label,score>>: domain, theme, subtheme, entity (if there is a token), fact, passage."""
     tokens = query_tokens(query)
     step = lambda level, label, score: F.struct(F.lit(level).alias("level"), label.alias("label"), F.lit(score).alias("score"))
     some = F.size(tokens) > 0
     subtheme_ = F.when(some, F.array_join(F.slice(tokens, 1, 4), "_")).otherwise("unspecified")
-    head = F.array(step("domain", F.lit("arc_mem"), 1.0), step("theme", route_theme(query), 0.9), step("subtheme", subtheme_, 0.6))
+    head = F.array(step("domain", F.lit(root), 1.0), step("theme", route_theme(query), 0.9), step("subtheme", subtheme_, 0.6))
     entity = F.when(some, F.array(step("entity", F.try_element_at(tokens, F.lit(1)), 0.4))).otherwise(F.array().cast("array<struct<level:string,label:string,score:double>>"))
     return F.concat(head, entity, F.array(step("fact", F.lit("candidate_facts"), 0.3), step("passage", F.lit("candidate_passages"), 0.2)))
 
@@ -169,3 +171,25 @@ def redact(text: Column) -> Column:
     for pattern in (r"nvapi-[A-Za-z0-9_\-]+", r"sk-[A-Za-z0-9_\-]+"):  # sk- covers sk-proj-
         out = F.regexp_replace(out, pattern, "***")
     return F.regexp_replace(out, r"(?i)(api[_-]?key|token|secret|password|pass)=([^&\s]+)", "$1=***")
+
+
+def mask_mapping(mapping: Column, secret: str = r"(?i)key|token|secret|password|pass") -> Column:
+    """A map whose values under secret-looking names are masked."""
+    return F.transform_values(mapping, lambda k, v: F.when(k.rlike(secret), mask_secret(v)).otherwise(v))
+
+
+def vector_text(vector: Column) -> Column:
+    """``[0.1,0.2]``, the text form of a vector."""
+    return F.to_json(vector)
+
+
+def parse_vector(text: Column) -> Column:
+    """The vector of a text ``[0.1, 0.2]``; null where it is none."""
+    return F.from_json(F.trim(text), "array<float>")
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The version 5 UUID of a name: the first 128 bits of SHA-1 with the version and variant bits set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 from mnemo.functions.expressions import contradicts, cosine, evidence
 
 
+NEEDED = ("fact_id", "object_value", "provenance_text", "embedding")
+
+
 def candidates(facts: DataFrame) -> DataFrame:
-    """Pairs (probe p, other o) of one subject and predicate with different objects; an equi-join."""
-    side = lambda x: facts.select(F.lower("subject").alias("ls"), F.lower("predicate").alias("lp"), F.struct(*facts.columns).alias(x))
-    pairs = side("p").join(side("o"), ["ls", "lp"])
-    return pairs.where((F.col("p.fact_id") != F.col("o.fact_id")) & (F.lower("p.object_value") != F.lower("o.object_value")) & F.col("o.superseded_by").isNull())
+    """Pairs (probe p, other o) of one subject and predicate with different objects; an equi-join of the columns the tests need."""
+    rows = facts.select(F.lower("subject").alias("ls"), F.lower("predicate").alias("lp"), F.struct(*NEEDED, F.coalesce("valid_from", "observed_at").alias("t")).alias("x"), "superseded_by")
+    p, o = rows.select("ls", "lp", F.col("x").alias("p")), rows.where("superseded_by is null").select("ls", "lp", F.col("x").alias("o"))
+    return p.join(o, ["ls", "lp"]).where((F.col("p.fact_id") != F.col("o.fact_id")) & (F.lower("p.object_value") != F.lower("o.object_value")))
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -46,8 +50,19 @@ def granularity(facts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFra
     return _named(near.where(F.contains(a, b) | F.contains(b, a)), "granularity")
 
 
-def detect(facts: DataFrame, threshold: float = 0.8) -> DataFrame:
-    return temporal(facts, threshold).unionByName(exclusive(facts)).unionByName(granularity(facts, threshold))
+def detect(facts: DataFrame, threshold: float = 0.8, k: int = 5, k_exclusive: int = 10) -> DataFrame:
+    """Conflicts of all three types from one join and one shuffle by probe: the same rows as the single tests give together."""
+    by = lambda *order: F.row_number().over(W.partitionBy("p.fact_id").orderBy(*order))
+    pairs = candidates(facts).withColumn("similarity", cosine(F.col("p.embedding"), F.col("o.embedding")))
+    pairs = pairs.withColumn("near", by(F.desc("similarity"), "o.fact_id")).withColumn("low", by("o.fact_id"))
+    a, b = F.lower("p.object_value"), F.lower("o.object_value")
+    close = (F.col("near") <= k) & (F.round("similarity", 4) >= threshold)
+    kind = lambda test, name, sim: F.when(test, F.struct(F.lit(name).alias("conflict_type"), sim.alias("similarity")))
+    kinds = F.array_compact(F.array(kind(close, "temporal", F.round("similarity", 4)), kind(close & (F.contains(a, b) | F.contains(b, a)), "granularity", F.round("similarity", 4)),
+                                    kind((F.col("low") <= k_exclusive) & contradicts(F.col("p.object_value"), F.col("o.object_value")), "mutually_exclusive", F.lit(None).cast("double"))))
+    winner, confidence = evidence(F.col("p.provenance_text"), F.col("o.provenance_text"))
+    return pairs.select("p", "o", F.explode(kinds).alias("c")).select(F.col("p.fact_id").alias("fact_id"), F.col("o.fact_id").alias("conflicting_fact_id"), "c.conflict_type", "c.similarity",
+                                                                      winner.alias("stronger"), F.round(confidence, 4).alias("evidence_confidence"))
 
 
 def resolve(conflicts: DataFrame) -> DataFrame:
@@ -61,9 +76,49 @@ def supersede(facts: DataFrame, threshold: float | None = None, k: int = 10) ->
     Newer is by coalesce(valid_from, observed_at); at equal times the larger id.  With a threshold only the ``k`` most similar
     candidates at least that similar count; without one each fact is replaced by its next newer one.
     """
-    when = lambda x: F.struct(F.coalesce(f"{x}.valid_from", f"{x}.observed_at").alias("t"), F.col(f"{x}.fact_id").alias("id"))
+    when = lambda x: F.struct(F.col(f"{x}.t").alias("t"), F.col(f"{x}.fact_id").alias("id"))
     if threshold is None:
         order = W.partitionBy(F.lower("subject"), F.lower("predicate")).orderBy(F.coalesce("valid_from", "observed_at"), "fact_id")
         return facts.select("fact_id", F.lead("fact_id").over(order).alias("superseded_by")).where("superseded_by is not null")
     near = nearest(candidates(facts), k).where(F.round("similarity", 4) >= threshold).where(when("p") < when("o"))
     return near.groupBy(F.col("p.fact_id").alias("fact_id")).agg(F.min_by(F.col("o.fact_id"), when("o")).alias("superseded_by"))
+
+
+def replay(facts: DataFrame, most: int = 10) -> DataFrame:
+    """(fact_id, superseded_by, valid_to, status): facts arriving in order of fact_id, each tested against those before it that are still in force.
+
+    Of the facts of its subject and predicate with another object the ``most`` lowest ids are its candidates; the later one in time
+    supersedes the other, at equal times the one that arrives.  The superseded one becomes inactive and ends when the other begins,
+    unless it has an end.  A group streams through one task; only facts still in force are held.
+    """
+    rows = facts.select(F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.col("fact_id").cast("long").alias("fact_id"), F.lower("object_value").alias("o"), F.unix_micros(F.coalesce("valid_from", "observed_at")).alias("t"),
+                        F.unix_micros("valid_to").alias("valid_to"), "status", F.col("superseded_by").cast("long").alias("superseded_by"))
+
+    def run(batches):
+        key, live = None, {}
+
+        def made(states):
+            return pa.RecordBatch.from_arrays([pa.array([s[c] for s in states], t) for c, t in (("id", pa.int64()), ("by", pa.int64()), ("valid_to", pa.int64()), ("status", pa.string()))], ["fact_id", "superseded_by", "ends", "status"])
+
+        for batch in batches:
+            done = []
+            for s, p, fact, o, t, valid_to, status, by in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (s, p) != key:
+                    done += live.values()
+                    key, live = (s, p), {}
+                new = {"id": fact, "o": o, "t": t, "valid_to": valid_to, "status": status, "by": by}
+                others = [x for x in live.values() if s is not None and p is not None and o is not None and x["o"] is not None and x["o"] != o][:most]
+                for old in others:
+                    newer, older = (new, old) if t is not None and old["t"] is not None and t >= old["t"] else (old, new)
+                    older |= {"by": newer["id"], "status": "inactive", "valid_to": newer["t"] if older["valid_to"] is None else older["valid_to"]}
+                    if older is old:
+                        done.append(live.pop(old["id"]))
+                if new["by"] is None:
+                    live[fact] = new
+                else:
+                    done.append(new)
+            yield made(done)
+        yield made(list(live.values()))
+
+    ordered = rows.repartition("s", "p").sortWithinPartitions("s", "p", "fact_id")
+    return ordered.mapInArrow(run, "fact_id long, superseded_by long, ends long, status string").select("fact_id", "superseded_by", F.timestamp_micros("ends").alias("valid_to"), "status")

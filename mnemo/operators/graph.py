@@ -8,17 +8,19 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemo.functions.expressions import cosine
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the session's shared checkpoint folder and read back.
 
-    Where none is set a session on one machine uses a temporary folder; on a cluster the plan stays lazy.
+    Where none is set a session on one machine uses a temporary folder; on a cluster the folder is required.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
-            return df
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="mnemo-")
     path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -71,10 +73,9 @@ def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 100) -> Data
     raise RuntimeError("not all nodes reached")
 
 
-def entity_init(similarities: Column, degree: Column) -> Column:
-    """max(0, mean similarity) damped by ln(degree + 1 + e)."""
-    mean = F.try_divide(F.aggregate(similarities, F.lit(0.0), lambda a, x: a + x), F.size(similarities).cast("double"))
-    return F.coalesce(F.greatest(F.lit(0.0), mean) / F.log(degree + F.lit(1.0) + F.e()), F.lit(0.0))
+def entity_init(mean: Column, degree: Column) -> Column:
+    """max(0, mean similarity) damped by ln(degree + 1 + e); 0 where there is none."""
+    return F.when(mean.isNotNull(), F.greatest(F.lit(0.0), mean) / F.log(degree + F.lit(1.0) + F.e())).otherwise(F.lit(0.0))
 
 
 def normalised(df: DataFrame, value: str) -> DataFrame:
@@ -82,3 +83,39 @@ def normalised(df: DataFrame, value: str) -> DataFrame:
     some = df.where(F.col(value) > 0)
     total = some.agg(F.sum(value).alias("__total"))
     return some.crossJoin(F.broadcast(total)).withColumn(value, F.col(value) / F.col("__total")).drop("__total")
+
+
+def ppr_graph(facts: DataFrame, bridges: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, seeds) of the fact, passage and entity graph.
+
+    ``facts`` is (fact_id, similarity, text), at most a few thousand; ``bridges`` (fact_id, passage) and ``entities`` (entity, name) may be of any size.
+    A fact is linked to its passages with weight 1 and to the entities whose name its text holds with 0.5.
+    """
+    facts = facts.withColumn("similarity", F.greatest(F.lit(0.0), "similarity"))
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    held = bridges.select("fact_id", "passage").distinct().join(F.broadcast(facts.select("fact_id", "similarity")), "fact_id")
+    name = F.trim(F.lower("name"))
+    named = entities.where(F.length(name) >= 3).join(F.broadcast(facts), F.contains(F.lower("text"), name)).select("entity", "fact_id", "similarity").distinct()  # facts are bounded
+    edges = held.select(node("f", "fact_id").alias("source"), node("p", "passage").alias("target"), F.lit(1.0).alias("weight")).unionByName(
+        named.select(node("e", "entity").alias("source"), node("f", "fact_id").alias("target"), F.lit(0.5).alias("weight")))
+    seeds = facts.select(node("f", "fact_id").alias("node"), F.col("similarity").alias("rank"))
+    seeds = seeds.unionByName(held.groupBy(node("p", "passage").alias("node")).agg(F.avg("similarity").alias("rank")))
+    seeds = seeds.unionByName(named.groupBy(node("e", "entity").alias("node")).agg(entity_init(F.avg("similarity"), F.count(F.lit(1))).alias("rank")))
+    return edges, normalised(seeds, "rank")
+
+
+def ppr_retrieve(facts: DataFrame, bridges: DataFrame, entities: DataFrame, query: list[float], k: int = 8, max_facts: int = 2000, restart: float = 0.5, iterations: int = 40, tolerance: float = 1e-6) -> DataFrame:
+    """(kind, id, ppr_score): the ``k`` facts and the ``k`` passages of highest rank in a walk that restarts at what is similar to the query.
+
+    The ``max_facts`` facts nearest to the query take part, those without a vector none; passages of rank 0 are left out.  Equal
+    ranks go by similarity, then by id.
+    """
+    sim = cosine(F.col("embedding"), F.array(*map(F.lit, query)))
+    top = facts.where(F.col("embedding").isNotNull()).select("fact_id", sim.alias("similarity"), F.concat_ws(" ", "subject", "object_value").alias("text"))
+    top = cut_lineage(top.orderBy(F.desc("similarity"), "fact_id").limit(max_facts))
+    edges, seeds = ppr_graph(top, bridges, entities)
+    rank = cut_lineage(pagerank(undirected(cut_lineage(edges)), cut_lineage(seeds), restart, iterations, tolerance))
+    found = top.select(F.lit("fact").alias("kind"), F.col("fact_id").cast("string").alias("id"), F.concat(F.lit("f:"), F.col("fact_id").cast("string")).alias("node"), "similarity").join(rank, "node", "left")
+    first = found.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), F.desc("similarity"), F.col("id").cast("long")).limit(k)
+    passages = rank.where(F.col("node").startswith("p:") & (F.col("rank") > 0)).select(F.lit("passage").alias("kind"), F.expr("substring(node, 3)").alias("id"), "rank").orderBy(F.desc("rank"), "id").limit(k)
+    return first.select("kind", "id", F.coalesce("rank", F.lit(0.0)).alias("ppr_score")).unionByName(passages.withColumnRenamed("rank", "ppr_score"))

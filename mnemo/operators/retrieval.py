@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemo.functions.expressions import cosine
+from mnemo.functions.expressions import cosine, route_query
 
 #: Query rows that may be broadcast to the corpus; larger sets are scored in blocks of this size.
 MAX_QUERIES = 2000
@@ -44,3 +44,17 @@ def top_k_of_each(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         top = scored.withColumn("rank", rank).where(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)
     return out.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
+
+
+def context_bundle(query: str, facts: DataFrame, passages: DataFrame, warnings: list[str] | None = None) -> DataFrame:
+    """One row (query, route_paths, facts, passages, citations, warnings) from ranked facts and passages, a few rows each and in order.
+
+    ``facts`` has fact_id and score; ``passages`` has doc_id, ordinal, mode and pos.
+    """
+    spark = facts.sparkSession
+    some = lambda df, order, *cols: df.agg(F.array_sort(F.collect_list(F.struct(*order, *cols))).alias("x"))
+    f = some(facts.select((-F.col("score")).alias("o"), "fact_id", "score"), ("o", "fact_id"), "score").select(F.transform("x", lambda r: F.struct(r["fact_id"].alias("fact_id"), r["score"].alias("score"))).alias("facts"))
+    p = some(passages, ("mode", "pos"), "doc_id", "ordinal").select(F.col("x").alias("passages"), F.transform("x", lambda r: F.struct(
+        F.concat_ws(":", r["doc_id"].cast("string"), r["ordinal"].cast("string")).alias("chunk_id"), r["doc_id"].alias("document_id"), F.when(r["mode"] == 0, "semantic").otherwise("lexical").alias("retrieval_mode"))).alias("citations"))
+    q = spark.range(1).select(F.lit(query).alias("query"), route_query(F.lit(query)).alias("route_paths"), F.array(*map(F.lit, warnings or [])).cast("array<string>").alias("warnings"))
+    return q.join(F.broadcast(f)).join(F.broadcast(p)).select("query", "route_paths", "facts", "passages", "citations", "warnings")  # one row each

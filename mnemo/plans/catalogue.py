@@ -84,14 +84,26 @@ def salience_now(spark, sf_dir):
     return facts_.active_facts(facts(spark, sf_dir, False), AS_OF).select("fact_id", F.round("salience_now", 6).alias("salience_now"))
 
 
-@query(None)
+FEEDBACK_SQL = f"""WITH RECURSIVE {FACTS}, first AS (SELECT subject, min(fact_id) AS target FROM facts GROUP BY 1),
+log AS (SELECT target AS fact_id, observed_at AS ts, CASE fact_id % 5 WHEN 0 THEN 'approval' WHEN 1 THEN 'neutral' WHEN 2 THEN 'unknown' ELSE 'rebuttal' END AS signal, row_number() OVER (PARTITION BY target ORDER BY observed_at, fact_id) AS k,
+  count(*) OVER (PARTITION BY target) AS n FROM facts JOIN first USING (subject) WHERE fact_id > target),
+f AS (SELECT fact_id, 0::BIGINT AS k, 1.0::DOUBLE AS salience, observed_at AS since, 0::BIGINT AS reinforced, CASE WHEN fact_id % 2 = 0 THEN decay_rate ELSE 0.01 END::DOUBLE AS rate FROM facts JOIN first ON fact_id = target
+  UNION ALL SELECT f.fact_id, f.k + 1, CASE WHEN signal IN ('approval', 'rebuttal') THEN round(greatest(0, least(1, greatest(0, least(1, salience * exp(-rate * (epoch_us(ts) - epoch_us(since)) / 86400e6))) * CASE signal WHEN 'approval' THEN 1.3 ELSE 0.5 END)), 4) ELSE salience END::DOUBLE,
+  CASE WHEN signal IN ('approval', 'rebuttal') THEN ts ELSE since END, reinforced + CASE WHEN signal = 'approval' THEN 1 ELSE 0 END, rate FROM f JOIN log ON log.fact_id = f.fact_id AND log.k = f.k + 1)
+SELECT f.fact_id, round(salience, 3) AS salience, reinforced FROM f JOIN (SELECT DISTINCT fact_id, n FROM log) l ON l.fact_id = f.fact_id AND l.n = f.k"""
+
+
+@query(FEEDBACK_SQL)
 def feedback_fold(spark, sf_dir):
-    """Signals of one fact per user: the later events are feedback on the user's first."""
+    """Signals of one fact per user: the later events are feedback on the user's first; some signals are unknown and odd facts have no rate."""
     f = facts(spark, sf_dir, False)
     first = f.groupBy("subject").agg(F.min("fact_id").alias("target"))
     log = f.join(first, "subject").where("fact_id > target")
-    signal = F.when(F.col("fact_id") % 3 == 0, "approval").when(F.col("fact_id") % 3 == 1, "neutral").otherwise("rebuttal")
-    return facts_.fold_feedback(f, log.select(F.col("target").alias("fact_id"), F.col("observed_at").alias("ts"), signal.alias("signal")))
+    k = F.col("fact_id") % 5
+    signal = F.when(k == 0, "approval").when(k == 1, "neutral").when(k == 2, "unknown").otherwise("rebuttal")
+    rated = f.withColumn("decay_rate", F.when(F.col("fact_id") % 2 == 0, F.col("decay_rate")))
+    folded = facts_.fold_feedback(rated, log.select(F.col("target").alias("fact_id"), F.col("observed_at").alias("ts"), signal.alias("signal")))
+    return folded.withColumn("salience", F.round("salience", 3))
 
 
 @query(f"WITH {FACTS} SELECT fact_id, round(confidence, 4) AS confidence FROM facts WHERE subject ILIKE '%user:2%' OR predicate ILIKE '%user:2%' OR object_value ILIKE '%user:2%' OR provenance_text ILIKE '%user:2%' ORDER BY facts.confidence DESC, observed_at DESC, fact_id LIMIT 50")
@@ -106,12 +118,20 @@ def chunk_text(spark, sf_dir):
     return c.select("doc_id", "ordinal", "char_start", F.sha2("content", 256).alias("content_hash"), F.length("content").cast("long").alias("content_chars"), X.token_estimate(F.col("content")).alias("token_count"))
 
 
-@query(None)
+PAGES_SQL = r"""WITH d AS (SELECT doc_id, substr(text, 1, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, a || chr(10) || b AS text, length(a) AS la, length(b) AS lb FROM d),
+c AS (SELECT *, unnest(range(0, CASE WHEN length(text) <= 1200 THEN 1 ELSE CAST(ceil((length(text) - 1200) / 1080) AS BIGINT) + 1 END)) AS k FROM t), x AS (SELECT doc_id, k * 1080 AS char_start, substr(text, k * 1080 + 1, 1200) AS raw, la, lb FROM c),
+y AS (SELECT doc_id, char_start, char_start + length(raw) AS char_end, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS content, la, lb FROM x)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY char_start) - 1 AS ordinal, sha256(content) AS content_hash, char_start, char_end, CASE WHEN la >= char_start THEN 1 ELSE 2 END AS page_start,
+CASE WHEN la + 1 < char_end THEN 2 ELSE 1 END AS page_end, greatest(1, length(content) // 4) AS token_count FROM y WHERE content <> ''"""
+
+
+@query(PAGES_SQL)
 def chunk_pages(spark, sf_dir):
     """Two-page documents: the text cut at its middle."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     half = (F.length("text") / 2).cast("int")
-    return ingest.chunk_pages(docs.select("doc_id", F.array(F.substr("text", F.lit(1), half), F.substr("text", half + 1)).alias("pages")))
+    cut = ingest.chunk_pages(docs.select("doc_id", F.array(F.substr("text", F.lit(1), half), F.substr("text", half + 1)).alias("pages")))
+    return cut.withColumn("content", F.sha2("content", 256)).withColumnRenamed("content", "content_hash")
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, ordinal FROM chunks WHERE content ILIKE '%{TEXT}%' ORDER BY doc_id DESC, ordinal LIMIT 20")
@@ -201,7 +221,12 @@ def conflicts_granularity(spark, sf_dir):
     return conflicts.granularity(facts(spark, sf_dir), THRESHOLD)
 
 
-@query(None)
+@query(f"""{PAIRS[:PAIRS.index("pairs AS (")].replace("json_extract_string(props, '$.k') AS object_value", "CASE WHEN event_id % 4 = 0 THEN 'not is ' ELSE 'is ' END || (event_id % 5) AS object_value")}
+pairs AS (SELECT p.fact_id, o.fact_id AS conflicting_fact_id, p.object_value AS po, o.object_value AS oo, length(p.provenance_text) AS pp, length(o.provenance_text) AS op FROM facts p JOIN facts o ON lower(p.subject) = lower(o.subject) AND lower(p.predicate) = lower(o.predicate)
+  WHERE p.fact_id <> o.fact_id AND p.object_value <> o.object_value AND o.superseded_by IS NULL),
+low AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY conflicting_fact_id) AS l FROM pairs)
+SELECT fact_id, conflicting_fact_id, 'mutually_exclusive' AS conflict_type, NULL::DOUBLE AS similarity, CASE WHEN pp = op THEN 'tie' WHEN pp > op THEN 'first' ELSE 'second' END AS stronger,
+CASE WHEN pp = op THEN 0.5 ELSE round(least(0.95, 0.5 + 0.45 * greatest(pp, op) / (pp + op)), 4) END AS evidence_confidence FROM low WHERE l <= 10 AND (po LIKE 'not %') <> (oo LIKE 'not %') AND replace(po, 'not ', '') = replace(oo, 'not ', '')""")
 def conflicts_exclusive(spark, sf_dir):
     """Objects negated by position, so that contradictions occur."""
     f = facts(spark, sf_dir, False).withColumn("embedding", F.lit(None).cast("array<float>"))
@@ -380,9 +405,16 @@ def router_score(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", score.alias("sr"), level.alias("level"))
 
 
-@query(None)
+ROUTE_SQL = r"""WITH w AS (SELECT conv_id, turn, [regexp_replace(x, '^[.,;:!?()\[\]]+|[.,;:!?()\[\]]+$', '', 'g') for x in regexp_split_to_array(lower(text), '\s+') if x <> ''] AS t FROM conversations WHERE text IS NOT NULL),
+s AS (SELECT conv_id, turn, unnest([{'level': 'domain', 'label': 'memory', 'score': 1.0}, {'level': 'theme', 'label': CASE """ + " ".join(
+    f"WHEN list_has_any(t, [{', '.join(repr(x) for x in words)}]) THEN '{theme}'" for theme, words in X.ROUTE_THEMES) + r""" ELSE 'general' END, 'score': 0.9},
+  {'level': 'subtheme', 'label': CASE WHEN len(t) > 0 THEN array_to_string(t[1:4], '_') ELSE 'unspecified' END, 'score': 0.6}, {'level': 'entity', 'label': t[1], 'score': 0.4}, {'level': 'fact', 'label': 'candidate_facts', 'score': 0.3}, {'level': 'passage', 'label': 'candidate_passages', 'score': 0.2}]) AS p, len(t) AS n FROM w)
+SELECT conv_id, turn, p.level AS level, p.label AS label, p.score::DOUBLE AS score FROM s WHERE n > 0 OR p.level <> 'entity'"""
+
+
+@query(ROUTE_SQL)
 def route_query(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(X.route_query(F.col("text"))).alias("step")).select("conv_id", "turn", "step.*")
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.explode(X.route_query(F.col("text"))).alias("step")).select("conv_id", "turn", "step.*")
 
 
 @query("SELECT conv_id, turn, 'Retrieve context for: ' || substr(text, 1, 80) AS title FROM conversations")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,14 @@ def event_counts(events: DataFrame, window: str = "1 hour", late: str = "48 hour
     return timed.groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def watch_folder(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """A stream of new files below ``root``; the checkpoint remembers which were seen, content hashes find copies."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    return files.withColumn("content_hash", F.sha2("content", 256)).dropDuplicates(["content_hash"])
+def watch_folder(spark: SparkSession, root: str, pattern: str = "*", within: str = "7 days") -> DataFrame:
+    """A stream of new files below ``root``; the checkpoint remembers which were seen.
+
+    Copies are found by their content among the files changed within ``within`` of each other, so the state stays bounded; ``sync`` by
+    ``content_hash`` finds older ones.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    return files.withColumn("content_hash", F.sha2("content", 256)).withWatermark("modificationTime", within).dropDuplicatesWithinWatermark(["content_hash"])
 
 
 def sync(source: DataFrame, target_path: str, key: list[str], checkpoint: str):
@@ -31,3 +36,27 @@ def sync(source: DataFrame, target_path: str, key: list[str], checkpoint: str):
         batch.dropDuplicates(key).join(known, key, "left_anti").write.mode("append").parquet(target_path)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def schema_gate(facts: DataFrame, least: int = 3) -> DataFrame:
+    """(predicate, fact_id, frequency, linked) of a stream of facts: keyed state counts the uses of each predicate."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def count(key, batches, state):
+        n = state.get[0] if state.exists else 0
+        for pdf in batches:
+            pdf = pdf.sort_values(["observed_at", "fact_id"])
+            frequency = range(n + 1, n + 1 + len(pdf))
+            n += len(pdf)
+            yield pd.DataFrame({"predicate": key[0], "fact_id": pdf["fact_id"].to_numpy(), "frequency": frequency, "linked": [k >= least for k in frequency]})
+        state.update((n,))
+
+    rows = facts.select("predicate", "fact_id", "observed_at")
+    return rows.groupBy("predicate").applyInPandasWithState(count, "predicate string, fact_id long, frequency long, linked boolean", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Process all that is available, write it to ``path`` and read it back."""
+    spark = stream.sparkSession
+    stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
