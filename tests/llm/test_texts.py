@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -62,6 +63,35 @@ def test_toxicity_learns_and_filters(spark):
     assert score_documents(docs.limit(0), chain).count() == 0
 
 
+def test_chain_probabilities_by_hand_and_on_held_out_rows(spark):
+    """Rare marks of a category among many words of single documents; the marks of the first category matter for the second."""
+    rng = random.Random(8)
+    marks = [f"mark{chr(97 + k)}" for k in range(12)]
+    rows, labels = [], []
+    for k in range(1200):
+        low, toxic = rng.random() < 0.3, rng.random() < 0.15
+        words = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(80)]
+        words += rng.sample(marks[:4], 2) * low + rng.sample(marks[4:], 3) * toxic
+        rng.shuffle(words)
+        rows.append((k, " ".join(words).title()))
+        labels.append((k, None if k % 50 == 0 else int(not low), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = fit(docs, spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in score_documents(docs, chain).collect()}
+    for k, text in rows[::37]:
+        counts, before = {}, []
+        for w in text.lower().split():
+            counts[w] = counts.get(w, 0) + 1
+        for weights in chain.weights:
+            z = weights[-1] + sum(math.log2(1 + n) * weights[chain.words[w]] for w, n in counts.items() if w in chain.words)
+            z += sum(p * weights[len(chain.words) + j] for j, p in enumerate(before))
+            before.append(1 / (1 + math.exp(-z)))
+        assert abs(got[k]["p_low_quality"] - before[0]) < 1e-9 and abs(got[k]["p_toxic"] - before[1]) < 1e-9
+    held = [(k, toxic) for k, _, toxic in labels if k % 3 == 0]
+    found = [got[k]["p_toxic"] >= 0.5 for k, toxic in held if toxic]
+    assert sum(found) > 0.85 * len(found) and not any(got[k]["p_toxic"] >= 0.5 for k, toxic in held if not toxic)
+
+
 def test_language_held_out(spark):
     got = QUERIES["op9_language_id"](spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = got.collect()
