@@ -110,11 +110,14 @@ def _folded(states: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s[k] for s in states], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int64()))], ["fact_id", "salience", "reinforced"])
 
 
-def created(rows: DataFrame, as_of: str) -> DataFrame:
-    """New facts from (fact_id, subject, predicate, object_value, provenance_text, observed_at): pending, without a vector, observed now where no time is given."""
+def created(rows: DataFrame, as_of: str, *more: str) -> DataFrame:
+    """New facts from (fact_id, subject, predicate, object_value, provenance_text, observed_at): pending, without a vector, observed now where no time is given.
+
+    ``more`` names further columns of ``rows`` to keep.
+    """
     at = F.coalesce(F.col("observed_at").cast("timestamp"), as_time(as_of))
     return rows.select("fact_id", "subject", "predicate", "object_value", F.substring("provenance_text", 1, 1000).alias("provenance_text"), at.alias("observed_at"), at.alias("valid_from"), F.lit("pending").alias("status"),
-                       F.concat_ws(" ", "subject", "predicate", "object_value").alias("to_embed"), F.lit(None).cast("array<float>").alias("embedding"))
+                       F.concat_ws(" ", "subject", "predicate", "object_value").alias("to_embed"), F.lit(None).cast("array<float>").alias("embedding"), *more)
 
 
 def passages(rows: DataFrame) -> DataFrame:
