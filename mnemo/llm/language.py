@@ -130,7 +130,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text; score is the posterior of the answer per word.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned; equal scores
-    go to the alphabetically first language.  Only the text is read.
+    go to the alphabetically first language.  Only the text is read; repeated rows give repeated results, and a
+    null doc_id stays null.
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -142,11 +143,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
                 words.trim()
-                ids = list(map(words.__getitem__, WORD.findall(text.lower()))) if text else []
-                if not ids or not model.langs:
+                found = WORD.findall(text.lower()) if text else []
+                if not model.langs or not any(c.isalpha() for w in found for c in w):
                     langs.append("und")
                     scores.append(0.0)
                     continue
+                ids = list(map(words.__getitem__, found))
                 if len(words.rows) < len(matrix):
                     matrix = matrix[:0]
                 if len(words.rows) > len(matrix):

@@ -77,6 +77,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts by the best-scoring pieces; scores are ranks of the file's pieces, not trained unigram probabilities."""
     from .token_counts import count_tokens
 
     return count_tokens(documents_of(spark, sf_dir, "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))

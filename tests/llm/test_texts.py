@@ -96,8 +96,10 @@ def test_language_held_out(spark):
     got = QUERIES["op9_language_id"](spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = got.collect()
     assert rows and sum(r["lang_pred"] == r["lang"] for r in rows) > 0.95 * len(rows)
-    docs = spark.createDataFrame([(1, "the cat sat", "en"), (2, "le chat noir", "fr"), (3, None, None), (4, "123 !", "en"), (5, "cat", None)], "doc_id long, text string, lang string")
-    named = {r["doc_id"]: r for r in identify(docs, fit_language(docs)).collect()}
+    docs = spark.createDataFrame([(1, "the cat sat", "en"), (2, "le chat noir", "fr"), (3, None, None), (4, "123 !", "en"), (5, "cat", None), (6, "½ ² ①", "en"), (None, "le chat", None), (5, "cat", None)], "doc_id long, text string, lang string")
+    rows = identify(docs, fit_language(docs)).collect()
+    named = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 8 and named[6]["lang_pred"] == "und" and named[None]["lang_pred"] == "fr"
     assert named[5]["lang_pred"] == "en" and named[3]["lang_pred"] == named[4]["lang_pred"] == "und" and named[2]["lang_pred"] == "fr"
     assert identify(docs.limit(0), fit_language(docs.limit(0))).count() == 0
 
