@@ -11,6 +11,8 @@ Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,23 +46,75 @@ CONTEXT = {
 WINDOW, CONTEXT_BONUS, KEEP = 40, 0.2, 0.5
 
 
+#: Elements a scan appends one by one before they become a block, and code points of a piece of text.
+BLOCK, CHUNK = 256, 64
+FOUND = "struct<start:bigint,end:bigint,kind:string,rank:int,found:string>"
+SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,score:double>"
+
+
+def _empty(of: str) -> Column:
+    return F.expr(f"cast(array() as array<{of}>)")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often a lambda inside uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, state: Column, of: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """All outputs of ``step(state, item) -> (state, array of outputs)`` in order.
+
+    Appending copies what an array holds, so outputs gather in blocks that are put together at the end.
+    """
+    def inner(acc, item):
+        at, out = step(acc["at"], item)
+        return F.struct(at.alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def outer(acc, block):
+        return F.aggregate(block, F.struct(acc["at"].alias("at"), _empty(of).alias("out")), inner,
+                           lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def over(x):
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(BLOCK)), lambda k: F.slice(x, k + 1, F.lit(BLOCK)))
+        return F.aggregate(blocks, F.struct(state.alias("at"), _empty(f"array<{of}>").alias("out")), outer, lambda r: F.flatten(r["out"]))
+
+    return _let(items, over)
+
+
+def _chunks(text: Column) -> Column:
+    """The text in pieces of ``CHUNK`` code points, so that a position is reached without a walk from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, start: Column, length: Column) -> Column:
+    """``length`` code points of the chunked text from ``start`` on, or what there is of them."""
+    inside = start % CHUNK
+    pieces = F.slice(chunks, (F.floor(start / CHUNK) + 1).cast("int"), F.ceil((inside + length) / CHUNK).cast("int"))
+    return F.substring(F.array_join(pieces, ""), (inside + 1).cast("int"), length.cast("int"))
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("long")
+
+
+def _found(start: Column, end: Column, kind: str, found: Column) -> Column:
+    return F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(ORDER.index(kind)).alias("rank"), found.alias("found")))
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array<struct<start,end,kind,rank,found>>.
 
     The pieces between matches and the matches themselves come from the same scan order, so running
-    lengths give the positions.
+    lengths give the positions.  The piece behind the last match has none.
     """
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, f: F.struct(p.alias("gap"), f.alias("found")))
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:string,rank:int,found:string>>)")
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, f: F.struct(p.alias("gap"), f.alias("found")))
 
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(ORDER.index(kind)).alias("rank"), pair["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def step(at, pair):
+        start = at + F.length(pair["gap"])
+        end = start + F.coalesce(F.length(pair["found"]), F.lit(0))
+        return end, F.when(pair["found"].isNotNull(), _found(start, end, kind, pair["found"])).otherwise(_empty(FOUND))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return _scan(pairs, _zero(), FOUND, step)
 
 
 def _ibans(text: Column) -> Column:
@@ -70,26 +124,31 @@ def _ibans(text: Column) -> Column:
     codes to the longest of 15 to 34 characters that passes; what follows the cut must not be a letter or digit.
     """
     lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
-    starts = F.aggregate(
-        F.split(text, ADDED["iban"], -1), F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out")),
-        lambda acc, piece: F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-
-    def cut(start):
-        ahead = F.substring(text, (start + 1).cast("int"), F.lit(68))  # 34 characters, 33 spaces and what follows
-        prescribed = F.element_at(lengths, F.substring(ahead, 1, 2))
-        tried = F.when(prescribed.isNotNull(), F.array(prescribed)).otherwise(F.sequence(F.lit(34), F.lit(15), F.lit(-1)))
-        found = F.transform(tried, lambda n: F.call_function(
-            "regexp_extract", ahead, F.concat(F.lit("^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){"), (n - 4).cast("string"), F.lit("}(?![A-Za-z0-9])")), F.lit(0)))
-        return F.struct(start.alias("start"), F.get(F.filter(found, lambda f: (f != "") & _confirmed("iban", f)), F.lit(0)).alias("found"))
-
-    def step(acc, s):
+    starts = _scan(F.split(text, ADDED["iban"], -1), _zero(), "bigint", lambda at, piece: (at + F.length(piece), F.array(at)))
+
+    def cut(chunks, start):
+        ahead = _cut(chunks, start, F.lit(68))  # 34 characters, 33 spaces and what follows
+
+        def longest(x):
+            prescribed = F.element_at(lengths, F.substring(x, 1, 2))
+            tried = F.when(prescribed.isNotNull(), F.array(prescribed)).otherwise(F.sequence(F.lit(34), F.lit(15), F.lit(-1)))
+            found = F.transform(tried, lambda n: F.call_function(
+                "regexp_extract", x, F.concat(F.lit("^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){"), (n - 4).cast("string"), F.lit("}(?![A-Za-z0-9])")), F.lit(0)))
+            return F.get(F.filter(found, lambda f: (f != "") & _confirmed("iban", f)), F.lit(0))
+
+        return F.struct(start.alias("start"), _let(ahead, lambda x: F.when(x.rlike("^[A-Z]{2}[0-9]{2}"), longest(x))).alias("found"))
+
+    def step(at, s):
         end = s["start"] + F.length(s["found"])
-        span = F.struct(s["start"].alias("start"), end.alias("end"), F.lit("iban").alias("kind"), F.lit(ORDER.index("iban")).alias("rank"), s["found"].alias("found"))
-        return F.when(s["start"] >= acc["at"], F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))).otherwise(acc)
+        apart = s["start"] >= at
+        return F.when(apart, end).otherwise(at), F.when(apart, _found(s["start"], end, "iban", s["found"])).otherwise(_empty(FOUND))
+
+    def valid(where):
+        cuts = _let(_chunks(text), lambda chunks: F.transform(where, lambda start: cut(chunks, start)))
+        return _scan(F.filter(cuts, lambda s: s["found"].isNotNull()), _zero(), FOUND, step)
 
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:string,rank:int,found:string>>)")
-    valid = F.filter(F.transform(starts, cut), lambda s: s["found"].isNotNull())
-    return F.aggregate(valid, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    none = ~text.rlike("^[A-Z]{2}[0-9]{2}")
+    return _let(starts, lambda where: F.when((F.size(where) < 2) & none, _empty(FOUND)).otherwise(valid(where)))
 
 
 def _digits(found: Column) -> Column:
@@ -138,27 +197,46 @@ def _spans(text: Column, kind: str) -> Column:
     likely = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(LIKELY[kind])
     sure = _ibans(text) if kind == "iban" else F.filter(_matches(text, kind, pattern), lambda s: _confirmed(kind, s["found"]))
 
-    def scored(s):
-        before = F.substring(text, F.greatest(s["start"] - WINDOW + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(WINDOW)).cast("int"))
-        bonus = F.when(F.lower(before).rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
+    def scored(chunks, s):
+        before = F.least(s["start"], F.lit(WINDOW))
+        bonus = F.when(F.lower(_cut(chunks, s["start"] - before, before)).rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
         return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.least(F.lit(1.0), F.lit(SCORE[kind]) + bonus).alias("score"))
 
-    return F.when(likely, F.transform(sure, scored)).otherwise(F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>)"))
+    def with_context(spans):
+        return F.when(F.size(spans) == 0, _empty(SPAN)).otherwise(_let(_chunks(text), lambda chunks: F.transform(spans, lambda s: scored(chunks, s))))
+
+    return F.when(likely, _let(sure, with_context)).otherwise(_empty(SPAN))
+
+
+def _apart(spans: Column) -> Column:
+    """Sorted spans without those of added kinds that overlap a base span, by one pass each way.
+
+    At equal starts base spans come first, so the greatest end so far tells of all base spans up to a span, and on
+    the way back the smallest start of those behind it.
+    """
+    base = lambda s: s["rank"] < len(BASE)
+
+    def onward(at, s):
+        return F.when(base(s), F.greatest(at, s["end"])).otherwise(at), F.when(base(s) | (s["start"] >= at), F.array(s)).otherwise(_empty(SPAN))
+
+    def back(at, s):
+        return F.when(base(s), F.least(at, s["start"])).otherwise(at), F.when(base(s) | (s["end"] <= at), F.array(s)).otherwise(_empty(SPAN))
+
+    return F.reverse(_scan(F.reverse(_scan(spans, _zero(), SPAN, onward)), F.lit(2**62), SPAN, back))
 
 
 def find_pii(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """Add ``pii_spans``: array<struct<start,rank,end,kind,score>> by start, then kind; base kinds always stay.
 
-    Spans of the added kinds need a score of ``keep``, and none overlaps a base span.
+    Spans of the added kinds need a score of ``keep``, and none overlaps a base span.  A column named
+    ``pii_spans`` is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     named = docs.select("*", *(_spans(text, k).alias(f"__{k}") for k in ORDER))
     base = F.concat(*(F.col(f"__{k}") for k in BASE))
-    out = named.withColumn("__base", base)
-    added = F.filter(F.concat(*(F.col(f"__{k}") for k in ADDED)), lambda s: (s["score"] >= keep) & ~F.exists(
-        F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    out = out.withColumn("pii_spans", F.array_sort(F.concat(F.col("__base"), added)))
-    return out.drop("__base", *(f"__{k}" for k in ORDER))
+    added = F.filter(F.concat(*(F.col(f"__{k}") for k in ADDED)), lambda s: s["score"] >= keep)
+    spans = _let(added, lambda more: F.when(F.size(more) == 0, F.array_sort(base)).otherwise(_apart(F.array_sort(F.concat(base, more)))))
+    return named.withColumn("pii_spans", spans).drop(*(f"__{k}" for k in ORDER))
 
 
 def span_text(spans: Column) -> Column:
@@ -173,16 +251,15 @@ def mask_pii(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     found = find_pii(docs, keep)
     text = F.col("text")
 
-    def cut(start: Column, length: Column) -> Column:
-        return F.substring(text, (start + 1).cast("int"), length.cast("int"))
-
-    def step(acc, s):
-        gap = F.when(s["start"] > acc["at"], cut(acc["at"], s["start"] - acc["at"])).otherwise(F.lit(""))
-        mask = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mask).alias("out"))
+    def step(at, s):
+        gap = F.greatest(s["start"] - at, _zero())
+        mask = F.when((s["start"] < at) | (s["kind"] == ""), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.greatest(at, s["end"]), F.array(F.struct(at.alias("start"), gap.alias("length"), mask.alias("mask")))
 
-    masked = F.aggregate(F.col("pii_spans"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step,
-                         lambda acc: F.concat(acc["out"], cut(acc["at"], F.length(text) - acc["at"])))
+    size = F.length(text).cast("long")
+    behind = F.struct(size.alias("start"), F.lit(0).alias("rank"), size.alias("end"), F.lit("").alias("kind"), F.lit(0.0).alias("score"))
+    parts = _scan(F.concat(F.col("pii_spans"), F.array(behind)), _zero(), "struct<start:bigint,length:bigint,mask:string>", step)
+    masked = _let(_chunks(text), lambda chunks: F.array_join(F.transform(parts, lambda x: F.concat(_cut(chunks, x["start"], x["length"]), x["mask"])), ""))
     new = F.when(F.size("pii_spans") > 0, masked).otherwise(text)
     out = found.withColumn("text", new)
     if "n_chars" in docs.columns:

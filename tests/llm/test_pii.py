@@ -93,3 +93,16 @@ def test_ibans_end_where_their_country_says(spark):
 def test_mod97(spark):
     row = spark.range(1).select(mod97(F.lit("GB82WEST12345698765432")).alias("a"), mod97(F.lit("GB82WEST12345698765433")).alias("b")).first()
     assert row["a"] and not row["b"]
+
+
+def test_long_texts_with_many_spans(spark):
+    """Positions, masks and the test of overlaps stay linear: 40,000 spans in a text, kinds side by side."""
+    texts = ["é +1 (152) 555-8590 a@b.co;" * 20_000, "call 089 12345678, GB82WEST12345698765432; 10.0.0.1 " * 700]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii_digest(docs).collect()}
+    for k, text in enumerate(texts):
+        assert got[k]["base_sha256"] == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+    assert got[0]["n_phone"] == got[0]["n_email"] == 20_000
+    assert got[1]["spans"].count("iban") == got[1]["spans"].count("national_phone") == 700
+    masked = {r["doc_id"]: r["text"] for r in mask_pii(docs).collect()}
+    assert masked[0] == "é [PHONE] [EMAIL];" * 20_000 and masked[1] == "call [NATIONAL_PHONE], [IBAN]; [IP] " * 700
