@@ -10,6 +10,7 @@ filters' size follows the number of listed keys and the logarithm of the univers
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Listed keys one cascade may hold; beyond it ``judge_urls`` joins the rules instead.
-MAX_LISTED = 500_000
+#: Listed keys of one cascade, about; keys are dealt by hash to as many cascades as that takes.
+SHARD = 500_000
 
 
 def parts_of(url: Column) -> tuple[Column, Column]:
@@ -109,6 +110,32 @@ def in_cascade(levels: list[Level], key: Column) -> Column:
     return out
 
 
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards).cast("long"))
+
+
+def build_shards(listed: DataFrame, universe: DataFrame, shards: int) -> list[list[Level]]:
+    """One cascade for the keys of each shard."""
+    return [build_cascade(*(d.where(shard_of(F.col("key"), shards) == k) for d in (listed, universe))) for k in range(shards)]
+
+
+def in_shards(cascades: list[list[Level]], key: Column) -> Column:
+    """Exact membership of a key of the universe, by the cascade of its shard."""
+    out = in_cascade(cascades[0], key)
+    for k in range(1, len(cascades)):
+        out = F.when(shard_of(key, len(cascades)) == k, in_cascade(cascades[k], key)).otherwise(out)
+    return out
+
+
+def rule_keys(spark: SparkSession, keys: list[str], part: int = 50_000) -> DataFrame:
+    """(key) of the listed keys, as constants of the plan."""
+    table = None
+    for k in range(0, max(1, len(keys)), part):
+        some = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys[k:k + part])), "array<string>")).alias("key"))
+        table = some if table is None else table.unionByName(some)
+    return materialize(table, "rules")
+
+
 def split_rule(rule: str) -> tuple[str, str]:
     host, slash, path = rule.partition("/")
     return host.lower(), slash + path
@@ -120,7 +147,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
     ``rules`` are (action, ``host/path``) with actions ``block`` and ``allow``; the longest that fits wins
     (at equal length the one with the longer host).  A rule fits its host and all subdomains if the path
     starts with the rule's.  Urls that no rule fits get ``default``.  A null url has an empty host and path.
-    Rows are neither dropped nor merged; an empty table gives no rows.
+    Rows are neither dropped nor merged; an empty table gives no rows.  Columns named host, path, rule or verdict
+    are replaced.  Long lists are dealt to several cascades; all of them go with the plan, so its size follows the list's.
     """
     spark = pages.sparkSession
     host, path = parts_of(F.col(url))
@@ -131,26 +159,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
     labels = max(h.count(".") + 1 for _, h, _ in split)
     lengths = sorted({len(p) for _, _, p in split})
     keyed = named.withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
-    if len(rules) > MAX_LISTED:
-        return _judge_by_join(spark, keyed, split, default)
     universe = materialize(named.select("host", "path").distinct().select(
         F.explode(candidate_keys(F.col("host"), F.col("path"), labels, lengths)).alias("key")).distinct(), "universe")
-    member = {}
+    member, shards = {}, -(-len(rules) // SHARD)
     for action in ("allow", "block"):
-        listed = spark.createDataFrame([(h + p,) for a, h, p in split if a == action], "key string")
-        member[action] = build_cascade(listed, universe)
-    fitting = F.filter("__keys", lambda k: in_cascade(member["allow"], k) | in_cascade(member["block"], k))
+        member[action] = build_shards(rule_keys(spark, [h + p for a, h, p in split if a == action]), universe, shards)
+    fitting = F.filter("__keys", lambda k: in_shards(member["allow"], k) | in_shards(member["block"], k))
     out = keyed.withColumn("rule", F.try_element_at(fitting, F.lit(1)))
-    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(in_cascade(member["block"], F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
+    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(in_shards(member["block"], F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumn("verdict", verdict).drop("__keys")
-
-
-def _judge_by_join(spark: SparkSession, keyed: DataFrame, split: list, default: str) -> DataFrame:
-    """The same verdicts for lists too long for one cascade: candidates joined with the rules."""
-    listed = spark.createDataFrame([(h + p, a) for a, h, p in split], "rule string, verdict string").dropDuplicates(["rule"])
-    rows = keyed.withColumn("__row", F.monotonically_increasing_id())
-    rows = materialize(rows, "urls")
-    hits = rows.select("__row", F.posexplode("__keys").alias("__at", "rule")).join(listed, "rule")
-    best = hits.groupBy("__row").agg(F.min_by(F.struct("rule", "verdict"), "__at").alias("__best"))
-    out = rows.join(best, "__row", "left").withColumn("rule", F.col("__best.rule"))
-    return out.withColumn("verdict", F.coalesce("__best.verdict", F.lit(default))).drop("__row", "__keys", "__best")

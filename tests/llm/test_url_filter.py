@@ -29,17 +29,22 @@ URLS = [None, "", "no scheme", "http://", "http://NET/", "http://net", "https://
         "http://" + "a." * 3000 + "net/" + "x" * 9000, "http://.net/", "http://net./", "http://x.example.net/en/\nline"]
 
 
-def test_judges_like_brute_force(spark):
+def test_judges_like_brute_force(spark, monkeypatch):
     pages = spark.createDataFrame([(k, u, "t") for k, u in enumerate(URLS + URLS[:7])], "page_id long, url string, rules string")
-    for got in (judge_urls(pages, RULES), url_filter._judge_by_join(spark, pages.withColumn("host", url_filter.parts_of(F.col("url"))[0]).withColumn(
-            "path", url_filter.parts_of(F.col("url"))[1]).withColumn("__keys", url_filter.candidate_keys(F.col("host"), F.col("path"), 2, [1, 4])),
-            [(a, *url_filter.split_rule(r)) for a, r in RULES], "allow")):
-        rows = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()}
+    for shard in (url_filter.SHARD, 2, 1):  # one cascade an action, then two and four
+        monkeypatch.setattr(url_filter, "SHARD", shard)
+        rows = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(pages, RULES).collect()}
         assert rows == {k: brute(u, RULES) for k, u in enumerate(URLS + URLS[:7])}
     assert judge_urls(pages.limit(0), RULES).count() == 0
     assert judge_urls(pages, []).where("verdict = 'allow' and rule is null").count() == len(URLS) + 7
 
 
+def test_names_of_the_result_replace_columns(spark):
+    pages = spark.createDataFrame([(1, "http://net/x", "mine", 5)], "page_id long, url string, host string, verdict int")
+    row = judge_urls(pages, RULES).first()
+    assert (row["host"], row["rule"], row["verdict"]) == ("net", "net/", "block") and len(row) == 6
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     random.seed(5)
     keys = [f"h{k}.example/{random.random()}" for k in range(6000)]
