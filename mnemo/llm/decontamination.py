@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,14 +93,13 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, ITEM)
 
 
-def document_hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
-    """Windows of the documents whose hash is among ``wanted`` (sorted hashes by window length)."""
-    spread = docs.sparkSession.sparkContext.broadcast(wanted)
+def document_hits(docs: DataFrame, wanted: Broadcast) -> DataFrame:
+    """Windows of the documents whose hash is among the broadcast ``wanted`` (sorted hashes by window length)."""
 
     def run(batches):
         for batch in batches:
             for doc, t in zip(batch.column(0).to_pylist(), templates(batch.column(1).to_pylist()), strict=True):
-                for n, known in spread.value.items():
+                for n, known in wanted.value.items():
                     at, hashes = _windows(t, n, 0)
                     if not len(hashes):
                         continue
@@ -148,11 +148,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     blocks = max(1, -(-total // BLOCK))
     hits = None
     for block in range(blocks):  # a stated query set against all rows, in blocks of bounded size
-        wanted: dict[int, list[int]] = {}
-        for r in keys.where(F.expr(f"pmod(hash, {blocks}) = {block}")).collect():
-            wanted.setdefault(r["n"], []).append(r["hash"])
-        some = document_hits(docs, {n: np.sort(np.array(h, np.int64).view(U)) for n, h in wanted.items()})
-        hits = some if hits is None else hits.unionByName(some)
+        some = keys.where(F.expr(f"pmod(hash, {blocks}) = {block}")).toArrow()
+        size, hashes = some.column("n").to_numpy(), some.column("hash").to_numpy().view(U)
+        wanted = docs.sparkSession.sparkContext.broadcast({n: np.sort(hashes[size == n]) for n in np.unique(size).tolist()})
+        found = materialize(document_hits(docs, wanted), "hits")
+        wanted.destroy()  # the hits are written: no more than one block is held at a time
+        hits = found if hits is None else hits.unionByName(found)
     pairs = hits.join(items.withColumnRenamed("slots", "mine"), ["hash", "n"]).select("doc_id", "item_id", "size", "at", "pos", "n", "mine", "slots")
 
     def judge(batches):
@@ -167,6 +168,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item is found."""
-    found = materialize(contaminations(docs, benchmark).select("doc_id").distinct(), "found")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, in which no benchmark item is found.
+
+    Each row is judged by its own text, named by a hash of doc_id and text: rows that repeat a doc_id with other texts stand
+    alone, equal rows go or stay together, and a row without doc_id is judged too.
+    """
+    row = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    found = contaminations(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__found")).distinct()
+    return docs.join(materialize(found, "found"), row == F.col("__found"), "left_anti")

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+from mnemo.llm import decontamination
 from mnemo.llm.decontamination import contaminations, drop_contaminated
 from mnemo.llm.language import fit as fit_language
 from mnemo.llm.language import identify
@@ -31,9 +32,23 @@ def test_decontamination_finds_new_values_and_checks_slots(spark):
     assert 6 not in found or found[6]["covered"] < found[2]["covered"]
     kept = drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and {3, 4, 5} <= {r[0] for r in kept.select("doc_id").collect()}
+    assert [r[1] for r in kept.where("doc_id = 2").collect()] == ["other"]
     assert contaminations(docs.limit(0), bench).count() == 0 and contaminations(docs, bench.limit(0)).count() == 0
 
 
+def test_one_value_stands_for_one_value(spark, monkeypatch):
+    """Every window of this item holds its value twice, so other values count only if they are all the same; blocks change nothing."""
+    item = "sum the 3 parts then take 3 more parts and add 3 to them before 3 people count 3 times over 3 days"
+    values = iter("24567891")
+    rows = [(1, item.replace("3", "7")), (2, "".join(next(values) if c == "3" else c for c in item)), (3, "so: " + item), (None, item)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")
+    for block in (decontamination.BLOCK, 3):
+        monkeypatch.setattr(decontamination, "BLOCK", block)
+        found = {r["doc_id"]: r["changed"] for r in contaminations(docs, bench).collect()}
+        assert set(found) == {1, 3} and found[1] > 0 == found[3]
+        assert [r[0] for r in drop_contaminated(docs, bench).collect()] == [2]
+
+
 def test_decontamination_finds_verbatim_copies_of_few_literals(spark):
     items = ["Compute 12 + 7 x 5 - 3 + 18 * 4 / 2 - 9 + 33 - 1 + 6", "Name the order: Mercury Venus Earth Mars Jupiter Saturn Uranus Neptune Pluto Ceres Eris Haumea",
              "Which planet is the closest one to the sun in our system?", "In which year did Ada Lovelace write to Charles Babbage about Bernoulli numbers in London", "1 2 3 4 5 6"]
