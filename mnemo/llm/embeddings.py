@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .blocks import block_pairs
+from .blocks import block_units, by_unit
 from .common import connected_components, materialize
 
 #: Share of pairs at the threshold that may share no band, error bound in standard deviations, block rows.
@@ -47,6 +48,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def band_keys(signs: np.ndarray, bits: int) -> np.ndarray:
+    """(rows, bands): each band's ``bits`` signs as one number."""
+    return signs.reshape(len(signs), -1, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
 def encode(units: np.ndarray, bits: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed codes, correction factors, band keys) of unit vectors."""
     dim = units.shape[1]
@@ -54,9 +60,7 @@ def encode(units: np.ndarray, bits: int, bands: int) -> tuple[np.ndarray, np.nda
     turned = units @ rotations(dim, number).T
     signs = turned > 0
     factor = np.abs(turned).sum(axis=1) / (number * math.sqrt(dim))  # mean over rotations of <o, code direction>
-    weights = 1 << np.arange(bits, dtype=np.int64)
-    keys = signs[:, :bits * bands].reshape(len(units), bands, bits) @ weights
-    return np.packbits(signs, axis=1), factor, keys
+    return np.packbits(signs, axis=1), factor, band_keys(signs[:, :bits * bands], bits)
 
 
 def estimates(units: np.ndarray, codes: np.ndarray, factors: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +116,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     nodes = materialize(nodes, "vectors")
     n = nodes.count()
     bits, bands = band_plan(n, threshold)
+    shipped = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "<f8"
 
     def code(batches):
         for batch in batches:
@@ -125,19 +130,19 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                 codes, factors, keys = encode(unit(raw), bits, bands)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array([dim] * len(at), pa.int32()),
-                     pa.array([v.tobytes() for v in raw], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factors), pa.array(list(keys), pa.list_(pa.int64()))],
+                     pa.array([v.tobytes() for v in raw.astype(shipped)], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factors), pa.array(list(keys), pa.list_(pa.int64()))],
                     ["id", "copies", "dim", "vector", "code", "factor", "keys"])
 
-    coded = nodes.select("embedding", "id", "copies").mapInArrow(code, "id long, copies long, dim int, vector binary, code binary, factor double, keys array<long>")
-    members = coded.select("*", F.posexplode("keys").alias("band", "part")).withColumn("bucket", F.struct("dim", "band", "part")).drop("dim", "band", "part")
+    coded = materialize(nodes.select("embedding", "id", "copies").mapInArrow(code, "id long, copies long, dim int, vector binary, code binary, factor double, keys array<long>"), "codes")
+    members = coded.select("id", "dim", F.posexplode("keys").alias("band", "part")).select("id", F.struct("dim", "band", "part").alias("bucket"))
 
     def compare(table: pa.Table, same: bool):
         first = table.column("bucket")[0].as_py()
         dim, band = first["dim"], first["band"]
         ids, copies, side, factors = (table.column(c).to_numpy() for c in ("id", "copies", "side", "factor"))
-        vectors = unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), "<f8").reshape(-1, dim))
+        vectors = unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), shipped).reshape(-1, dim).astype(np.float64))
         codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        keys = band_keys(np.unpackbits(codes, axis=1, count=bits * bands), bits)
         left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
         if not len(left) or not len(right):
@@ -154,7 +159,10 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
             at = np.flatnonzero(n_links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n_links[at].astype(np.int64)), pa.array(least[at])], ["id", "n_links", "least"])
 
-    found = materialize(block_pairs(members, BLOCK, compare, "id long, n_links long, least long"), "vector-links")
+    # buckets are dealt by id alone; a vector goes out once for each unit that compares it
+    units = block_units(members, BLOCK)
+    units = units.join(coded.select("id", "copies", "vector", "code", "factor"), "id").select(*units.columns, "copies", "vector", "code", "factor")
+    found = materialize(by_unit(units, compare, "id long, n_links long, least long"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     components = connected_components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))
     known = nodes.join(counts, "id", "left").join(components, "id", "left").select(
