@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,22 +11,59 @@ from mnemo.functions.expressions import contradicts, cosine, evidence
 
 
 NEEDED = ("fact_id", "object_value", "provenance_text", "embedding")
+#: Facts of a subject and predicate that one task compares with as many others.
+BLOCK = 1024
 
 
-def candidates(facts: DataFrame) -> DataFrame:
-    """Pairs (probe p, other o) of one subject and predicate with different objects; an equi-join of the columns the tests need."""
-    rows = facts.select(F.lower("subject").alias("ls"), F.lower("predicate").alias("lp"), F.struct(*NEEDED, F.coalesce("valid_from", "observed_at").alias("t")).alias("x"), "superseded_by")
-    p, o = rows.select("ls", "lp", F.col("x").alias("p")), rows.where("superseded_by is null").select("ls", "lp", F.col("x").alias("o"))
-    return p.join(o, ["ls", "lp"]).where((F.col("p.fact_id") != F.col("o.fact_id")) & (F.lower("p.object_value") != F.lower("o.object_value")))
+def _rows(facts: DataFrame) -> DataFrame:
+    when = F.coalesce("valid_from", "observed_at")
+    return facts.select(F.lower("subject").alias("ls"), F.lower("predicate").alias("lp"), F.struct(*NEEDED, when.alias("t")).alias("x"), F.col("superseded_by").isNull().alias("open")).where("ls is not null and lp is not null")
+
+
+def _different() -> Column:
+    return (F.col("p.fact_id") != F.col("o.fact_id")) & (F.lower("p.object_value") != F.lower("o.object_value"))
+
+
+def candidates(facts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (probe p, other o) of one subject and predicate with different objects; an equi-join of the columns the tests need.
+
+    Both sides of a group are dealt to blocks of about ``block`` facts, and each pair of blocks is a key of the join, so a subject
+    and predicate that hold much of the table spread over many tasks.
+    """
+    rows = _rows(facts)
+    sizes = rows.groupBy("ls", "lp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, ["ls", "lp"]).withColumn("own", F.pmod(F.xxhash64("x.fact_id"), "blocks").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    p = dealt.select("ls", "lp", F.col("own").alias("pb"), F.col("met").alias("ob"), F.col("x").alias("p"))
+    o = dealt.where("open").select("ls", "lp", F.col("met").alias("pb"), F.col("own").alias("ob"), F.col("x").alias("o"))
+    return p.join(o, ["ls", "lp", "pb", "ob"]).where(_different()).select("p", "o")
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most similar others of each probe, with ``similarity``."""
+    """The ``k`` most similar others of each probe, with ``similarity``.
+
+    Each task keeps its own ``k`` best of a probe before the shuffle, so the pairs themselves are not sent.
+    """
     scored = pairs.withColumn("similarity", cosine(F.col("p.embedding"), F.col("o.embedding")))
     rank = F.row_number().over(W.partitionBy("p.fact_id").orderBy(F.desc("similarity"), "o.fact_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def lowest(facts: DataFrame, k: int) -> DataFrame:
+    """Pairs (p, o) of each probe and the ``k`` others of different objects with the lowest ids.
+
+    At most ``k`` of a group's facts of lowest ids share the probe's object once each object keeps its first ``k``, so the
+    first ``2 k`` of those hold all that any probe needs: a group of n facts gives at most 2 k n pairs.
+    """
+    rows = _rows(facts)
+    of_object = F.row_number().over(W.partitionBy("ls", "lp", F.lower("x.object_value")).orderBy("x.fact_id"))
+    first = rows.where("open and x.object_value is not null").withColumn("n", of_object).where(F.col("n") <= k)
+    of_group = F.row_number().over(W.partitionBy("ls", "lp").orderBy("x.fact_id"))
+    first = first.withColumn("n", of_group).where(F.col("n") <= 2 * k).select("ls", "lp", F.col("x").alias("o"))
+    pairs = rows.select("ls", "lp", F.col("x").alias("p")).join(first, ["ls", "lp"]).where(_different())
+    rank = F.row_number().over(W.partitionBy("p.fact_id").orderBy("o.fact_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def _named(df: DataFrame, kind: str) -> DataFrame:
     winner, confidence = evidence(F.col("p.provenance_text"), F.col("o.provenance_text"))
     return df.select(F.col("p.fact_id").alias("fact_id"), F.col("o.fact_id").alias("conflicting_fact_id"), F.lit(kind).alias("conflict_type"),
@@ -39,8 +76,7 @@ def temporal(facts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
 
 def exclusive(facts: DataFrame, k: int = 10) -> DataFrame:
     """Contradicting objects; of more than ``k`` candidates those with the lowest ids, as the order is free."""
-    rank = F.row_number().over(W.partitionBy("p.fact_id").orderBy("o.fact_id"))
-    some = candidates(facts).withColumn("rank", rank).where(F.col("rank") <= k).withColumn("similarity", F.lit(None).cast("double"))
+    some = lowest(facts, k).withColumn("similarity", F.lit(None).cast("double"))
     return _named(some.where(contradicts(F.col("p.object_value"), F.col("o.object_value"))), "mutually_exclusive")
 
 
@@ -51,18 +87,14 @@ def granularity(facts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFra
 
 
 def detect(facts: DataFrame, threshold: float = 0.8, k: int = 5, k_exclusive: int = 10) -> DataFrame:
-    """Conflicts of all three types from one join and one shuffle by probe: the same rows as the single tests give together."""
-    by = lambda *order: F.row_number().over(W.partitionBy("p.fact_id").orderBy(*order))
-    pairs = candidates(facts).withColumn("similarity", cosine(F.col("p.embedding"), F.col("o.embedding")))
-    pairs = pairs.withColumn("near", by(F.desc("similarity"), "o.fact_id")).withColumn("low", by("o.fact_id"))
+    """Conflicts of all three types; temporal and granularity conflicts come from one join by similarity."""
     a, b = F.lower("p.object_value"), F.lower("o.object_value")
-    close = (F.col("near") <= k) & (F.round("similarity", 4) >= threshold)
-    kind = lambda test, name, sim: F.when(test, F.struct(F.lit(name).alias("conflict_type"), sim.alias("similarity")))
-    kinds = F.array_compact(F.array(kind(close, "temporal", F.round("similarity", 4)), kind(close & (F.contains(a, b) | F.contains(b, a)), "granularity", F.round("similarity", 4)),
-                                    kind((F.col("low") <= k_exclusive) & contradicts(F.col("p.object_value"), F.col("o.object_value")), "mutually_exclusive", F.lit(None).cast("double"))))
+    near = nearest(candidates(facts), k).where(F.round("similarity", 4) >= threshold)
+    kinds = F.array_compact(F.array(F.lit("temporal"), F.when(F.contains(a, b) | F.contains(b, a), F.lit("granularity"))))
     winner, confidence = evidence(F.col("p.provenance_text"), F.col("o.provenance_text"))
-    return pairs.select("p", "o", F.explode(kinds).alias("c")).select(F.col("p.fact_id").alias("fact_id"), F.col("o.fact_id").alias("conflicting_fact_id"), "c.conflict_type", "c.similarity",
-                                                                      winner.alias("stronger"), F.round(confidence, 4).alias("evidence_confidence"))
+    close = near.select("p", "o", "similarity", F.explode(kinds).alias("conflict_type")).select(
+        F.col("p.fact_id").alias("fact_id"), F.col("o.fact_id").alias("conflicting_fact_id"), "conflict_type", F.round("similarity", 4).alias("similarity"), winner.alias("stronger"), F.round(confidence, 4).alias("evidence_confidence"))
+    return close.unionByName(exclusive(facts, k_exclusive))
 
 
 def resolve(conflicts: DataFrame) -> DataFrame:

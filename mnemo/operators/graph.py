@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.functions.expressions import cosine
+from mnemo.sources.shared import cut_lineage
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the session's shared checkpoint folder and read back.
-
-    Where none is set a session on one machine uses a temporary folder; on a cluster the folder is required.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="mnemo-")
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Edges of one source that stay together.
+SPLIT = 1_000_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -37,27 +22,42 @@ def pagerank(edges: DataFrame, seeds: DataFrame, restart: float = 0.5, iteration
 
     ``seeds`` is (node, rank) and sums to 1.  ``edges`` are directed; give ``undirected(edges)`` for the other kind.
     With a tolerance it stops once the L1 change is below it.
+
+    Nodes are numbered once, and the numbered edges are cached in order of source and the seeds in order of node, so that a step moves ranks
+    and partial sums only.  The edges of a source with more than ``SPLIT`` are spread over several groups.  The caches are
+    rebuilt from written tables if executors are lost.
     """
-    out = edges.groupBy("source").agg(F.sum("weight").alias("total"))
-    step = cut_lineage(edges.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")))
-    nodes = step.select(F.col("source").alias("node")).union(step.select("target")).union(seeds.select("node")).distinct()
-    base = nodes.join(seeds.withColumnRenamed("rank", "start"), "node", "left").join(out.select(F.col("source").alias("node"), F.lit(True).alias("goes")), "node", "left")
-    base = cut_lineage(base.select("node", F.coalesce("start", F.lit(0.0)).alias("start"), F.coalesce("goes", F.lit(False)).alias("goes")))
-    rank = base.select("node", F.col("start").alias("rank"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = cut_lineage(edges.select("source", "target", "weight"), "edges")
+    out = edges.groupBy("source").agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / SPLIT).alias("splits"))
+    ends = out.select(F.col("source").alias("node"), "splits", F.lit(0.0).alias("start")).unionByName(edges.select(F.col("target").alias("node"), F.lit(0).cast("long").alias("splits"), F.lit(0.0).alias("start")))
+    nodes = ends.unionByName(seeds.select("node", F.lit(0).cast("long").alias("splits"), F.col("rank").alias("start"))).groupBy("node").agg(F.max("splits").alias("splits"), F.sum("start").alias("start"))
+    nodes = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    number = nodes.select("node", "id")
+    share = edges.join(out, "source").join(number.toDF("source", "from"), "source").join(number.toDF("target", "to"), "target")
+    share = share.select("from", F.pmod(F.xxhash64("to"), "splits").alias("slot"), "to", (F.col("weight") / F.col("total")).alias("share"))
+    step = cut_lineage(share, "shares").repartition(parts, "from", "slot").sortWithinPartitions("from", "slot").persist()
+    base = nodes.select("id", "splits", "start").repartition(parts, "id").sortWithinPartitions("id").persist()
+    dangling = not base.where("splits = 0").isEmpty()
+    cut_every = 1 if dangling or tolerance is not None else cut_every  # each step then needs the ranks before it more than once
+    rank = base.select("id", "splits", F.col("start").alias("rank"))
     for k in range(1, iterations + 1):
-        got = rank.join(step, rank["node"] == step["source"]).groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        loose = rank.join(base.where(~F.col("goes")), "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        new = base.join(got, "node", "left").crossJoin(F.broadcast(loose)).select(
-            "node", ((1 - restart) * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("start")) + restart * F.col("start")).alias("rank"))
-        if k % cut_every == 0 or tolerance is not None:
-            new = cut_lineage(new)
+        sent = rank.where("splits > 0 and rank > 0").select("id", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("part"))
+        got = sent.join(step, (sent["id"] == step["from"]) & (sent["part"] == step["slot"])).groupBy(F.col("to").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        loose = (rank.where("splits = 0").agg(F.sum("rank")).first()[0] or 0.0) if dangling else 0.0
+        moved = F.coalesce("got", F.lit(0.0)) + F.lit(loose) * F.col("start")
+        new = base.join(got, "id", "left").select("id", "splits", ((1 - restart) * moved + restart * F.col("start")).alias("rank"))
+        if k % cut_every == 0 or k == iterations:
+            new = cut_lineage(new, "ranks")
+        change = None
         if tolerance is not None:
-            change = new.join(rank.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
-            rank = new
-            if change < tolerance:
-                break
+            change = new.join(rank.select("id", F.col("rank").alias("old")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
         rank = new
-    return rank
+        if change is not None and change < tolerance:
+            break
+    step.unpersist()
+    base.unpersist()
+    return number.join(rank, "id").select("node", "rank")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -114,7 +114,7 @@ def ppr_retrieve(facts: DataFrame, bridges: DataFrame, entities: DataFrame, quer
     top = facts.where(F.col("embedding").isNotNull()).select("fact_id", sim.alias("similarity"), F.concat_ws(" ", "subject", "object_value").alias("text"))
     top = cut_lineage(top.orderBy(F.desc("similarity"), "fact_id").limit(max_facts))
     edges, seeds = ppr_graph(top, bridges, entities)
-    rank = cut_lineage(pagerank(undirected(cut_lineage(edges)), cut_lineage(seeds), restart, iterations, tolerance))
+    rank = pagerank(undirected(cut_lineage(edges)), cut_lineage(seeds), restart, iterations, tolerance)
     found = top.select(F.lit("fact").alias("kind"), F.col("fact_id").cast("string").alias("id"), F.concat(F.lit("f:"), F.col("fact_id").cast("string")).alias("node"), "similarity").join(rank, "node", "left")
     first = found.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), F.desc("similarity"), F.col("id").cast("long")).limit(k)
     passages = rank.where(F.col("node").startswith("p:") & (F.col("rank") > 0)).select(F.lit("passage").alias("kind"), F.expr("substring(node, 3)").alias("id"), "rank").orderBy(F.desc("rank"), "id").limit(k)

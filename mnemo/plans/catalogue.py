@@ -295,11 +295,10 @@ def hmem_retrieve_flat(spark, sf_dir):
 EDGES_SQL = "e AS (SELECT 'p:' || l_partkey AS source, 's:' || l_suppkey AS target, count(*)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2)"
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, b AS (SELECT source, target FROM e UNION SELECT target, source FROM e WHERE target IN ('s:1', 's:2', 's:3')), r AS (SELECT 's:1' AS node UNION SELECT b.target FROM r JOIN b ON b.source = r.node) SELECT node FROM r")
+@query(f"WITH RECURSIVE {EDGES_SQL}, b AS (SELECT source, target FROM e UNION ALL SELECT target, source FROM e), r AS (SELECT 's:1' AS node UNION SELECT b.target FROM r JOIN b ON b.source = r.node) SELECT node FROM r")
 def reachable_facts(spark, sf_dir):
-    e = graph_edges(spark, sf_dir).select("source", "target")
-    back = e.where(F.col("target").isin("s:1", "s:2", "s:3")).select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return graph.reachable(e.unionByName(back), spark.createDataFrame([("s:1",)], "node string"))
+    """All that a supplier reaches over the edges both ways."""
+    return graph.reachable(graph.undirected(graph_edges(spark, sf_dir)), spark.createDataFrame([("s:1",)], "node string"))
 
 
 @query("SELECT 'supplies' AS kind, l_partkey AS source_id, l_suppkey AS target_id, count(*) AS n FROM lineitem GROUP BY 1, 2, 3 UNION ALL SELECT 'orders', o_custkey, o_orderkey, 1 FROM orders")
@@ -313,21 +312,21 @@ STEP = "SELECT v.node, {keep} * (coalesce(g.got, 0) + (SELECT coalesce(sum(r.ran
 
 
 def rank_sql(edges: str, restart: float, k: int, tail: str) -> str:
-    steps = ", ".join(f"r{i} AS (" + STEP.format(prev=f"r{i - 1}", keep=1 - restart, restart=restart) + ")" for i in range(1, k + 1))
-    return f"""WITH {EDGES_SQL}, g AS ({edges}), tot AS (SELECT source, sum(weight) AS total FROM g GROUP BY 1), st AS (SELECT g.source, target, weight / total AS share FROM g JOIN tot ON tot.source = g.source),
+    steps = ", ".join(f"r{i} AS MATERIALIZED (" + STEP.format(prev=f"r{i - 1}", keep=1 - restart, restart=restart) + ")" for i in range(1, k + 1))
+    return f"""WITH {EDGES_SQL}, g AS ({edges}), tot AS MATERIALIZED (SELECT source, sum(weight) AS total FROM g GROUP BY 1), st AS MATERIALIZED (SELECT g.source, target, weight / total AS share FROM g JOIN tot ON tot.source = g.source),
 v AS (SELECT node, CASE WHEN node = 's:1' THEN 1.0 ELSE 0.0 END::DOUBLE AS start FROM (SELECT source AS node FROM g UNION SELECT target FROM g)), r0 AS (SELECT node, start AS rank FROM v), {steps} {tail.format(last=f"r{k}")}"""
 
 
-@query(rank_sql("SELECT source, target, weight FROM e UNION ALL SELECT target, source, weight FROM e", 0.5, 5, "SELECT node, round(rank, 6) AS rank FROM {last}"))
+@query(rank_sql("SELECT source, target, weight FROM e UNION ALL SELECT target, source, weight FROM e", 0.5, 10, "SELECT node, round(rank, 6) AS rank FROM {last}"))
 def ppr_fixed_k(spark, sf_dir):
     seeds = spark.createDataFrame([("s:1", 1.0)], "node string, rank double")
-    return graph.pagerank(graph.undirected(graph_edges(spark, sf_dir)), seeds, 0.5, 5).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(graph.undirected(graph_edges(spark, sf_dir)), seeds, 0.5, 10).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query(rank_sql("SELECT target AS source, source AS target, weight FROM e", 0.15, 5, "SELECT node, round(rank, 6) AS rank FROM {last} ORDER BY rank DESC, node LIMIT 20"))
+@query(rank_sql("SELECT target AS source, source AS target, weight FROM e", 0.15, 10, "SELECT node, round(rank, 6) AS rank FROM {last} ORDER BY rank DESC, node LIMIT 20"))
 def pagerank_directed(spark, sf_dir):
     e = graph_edges(spark, sf_dir).select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")
-    ranked = graph.pagerank(e, spark.createDataFrame([("s:1", 1.0)], "node string, rank double"), 0.15, 5)
+    ranked = graph.pagerank(e, spark.createDataFrame([("s:1", 1.0)], "node string, rank double"), 0.15, 10)
     return ranked.select("node", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "node").limit(20)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from mnemo.functions import expressions as X
@@ -11,6 +9,7 @@ from mnemo.functions import sql as functions
 from mnemo.operators import conflicts, extraction, facts as facts_, graph, hierarchy, monitoring, retrieval
 from mnemo.plans.catalogue import AS_OF, CHUNKS, DOMAINS_SQL, FACTS, ORACLE_SQL, PAIRS, THRESHOLD, chunks, domains, labelled, query, query_vector
 from mnemo.sources.derived import facts, table
+from mnemo.sources.shared import new_path
 from mnemo.streaming import live
 
 LEXICAL = "the"
@@ -284,21 +283,10 @@ def event_stream(spark, sf_dir):
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
 
 
-def scratch(spark, label: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="mnemo-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2024-01-01 00:00:00') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_events_24h(spark, sf_dir):
     """Events a type and day by a stream that reads all there is; counts are written as they stand at the end of each batch."""
-    path = scratch(spark, "stream")
+    path = new_path(spark, "stream")
     counts = live.event_counts(event_stream(spark, sf_dir), "24 hours")
     done = counts.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda b, k: b.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/out/batch={k}")).start()
     done.awaitTermination()
@@ -309,7 +297,7 @@ def stream_events_24h(spark, sf_dir):
 @query("SELECT event_type AS predicate, count(*) AS n, count(*) FILTER (f >= 3) AS linked FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS f FROM events) GROUP BY 1")
 def stream_schema_gate(spark, sf_dir):
     """How many uses of each predicate a stream with keyed state links."""
-    path = scratch(spark, "stream")
+    path = new_path(spark, "stream")
     rows = event_stream(spark, sf_dir).select(F.col("event_type").alias("predicate"), F.col("event_id").alias("fact_id"), F.col("ts").cast("timestamp").alias("observed_at"))
     out = live.run_once(live.schema_gate(rows), f"{path}/out", f"{path}/state")
     return out.groupBy("predicate").agg(F.max("frequency").alias("n"), F.count_if("linked").alias("linked"))
