@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,20 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemo.sources.shared import session_folder
+
 #: Edges that one task holds when it contracts a part of a graph, or ends a small one: 16 bytes each.
 LOCAL_EDGES = 1_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor and the driver can read: ``spark.checkpoint.dir``.
+    """This session's folder below ``spark.checkpoint.dir``, which every executor and the driver can read.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none and runs on one machine a temporary folder is used; a cluster without one is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("mnemo.shared.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="mnemo-")
-        spark.conf.set("mnemo.shared.dir", root)
-    return root.rstrip("/")
+    return session_folder(spark)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
