@@ -110,7 +110,22 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                       F.coalesce("covered", F.lit(0)).cast("long").alias("covered"))
 
 
+def op11_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_k(vectors, 5, F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_chain, op2_minhash_near_dedup, op3_token_counts, op4_token_files, op5_personal_data, op6_best_fit_packing, op7_url_cascade,
-    op8_embedding_near_dedup, op9_language_id, op10_template_decontamination)}
-ORACLE_SQL = {"op7_url_cascade": OP7_SQL}
+    op8_embedding_near_dedup, op9_language_id, op10_template_decontamination, op11_pivot_topk)}
+ORACLE_SQL = {"op7_url_cascade": OP7_SQL, "op11_pivot_topk": OP11_SQL}
