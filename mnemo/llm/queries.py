@@ -125,7 +125,14 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, structure
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return structure(rows, damaged(rows))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_chain, op2_minhash_near_dedup, op3_token_counts, op4_token_files, op5_personal_data, op6_best_fit_packing, op7_url_cascade,
-    op8_embedding_near_dedup, op9_language_id, op10_template_decontamination, op11_pivot_topk)}
+    op8_embedding_near_dedup, op9_language_id, op10_template_decontamination, op11_pivot_topk, op12_conversation_repair)}
 ORACLE_SQL = {"op7_url_cascade": OP7_SQL, "op11_pivot_topk": OP11_SQL}
