@@ -132,7 +132,32 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure(rows, damaged(rows))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(documents_of(spark, sf_dir, "text", "lang"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     s AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+     p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM s),
+     total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+     places AS (SELECT lang, w, size, unnest(range(1, (len(w) - size + 2)::BIGINT)) AS i FROM p, range(1, 6) r(size)),
+     g AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100),
+     c AS (SELECT lang, phrase, f AS a, size, string_split(phrase, ' ') AS w FROM g WHERE size > 1),
+     k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+     v AS (SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+           FROM k JOIN g x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN g y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1:], ' ') JOIN total ON total.lang = k.lang),
+     b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     o AS (SELECT lang, size, w, a, unnest(range(2, size)) AS part FROM c),
+     h AS (SELECT lang, array_to_string(w[i:i + part - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, size - part + 2)) AS i FROM o) GROUP BY ALL),
+     q AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE coalesce(100 * longer < 100 * a, true))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q) WHERE rank <= 2000
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_chain, op2_minhash_near_dedup, op3_token_counts, op4_token_files, op5_personal_data, op6_best_fit_packing, op7_url_cascade,
-    op8_embedding_near_dedup, op9_language_id, op10_template_decontamination, op11_pivot_topk, op12_conversation_repair)}
-ORACLE_SQL = {"op7_url_cascade": OP7_SQL, "op11_pivot_topk": OP11_SQL}
+    op8_embedding_near_dedup, op9_language_id, op10_template_decontamination, op11_pivot_topk, op12_conversation_repair, op13_phrase_collocations)}
+ORACLE_SQL = {"op7_url_cascade": OP7_SQL, "op11_pivot_topk": OP11_SQL, "op13_phrase_collocations": OP13_SQL}
