@@ -20,6 +20,8 @@ _CODES = {2: "H", 4: "I"}
 _MARKS = frozenset(".,;:!?")
 #: Letters below this one are their own normal form; the dotted capital I alone has a lower case of two.
 _LATIN_END, _DOTTED_I = "\u0250", "\u0130"
+#: Special tokens begin so; their capitals are plain text.
+_SPECIAL = "<|"
 
 
 def tokenizer_file(name: str) -> str:
@@ -52,8 +54,8 @@ def byte_letters() -> dict[int, str]:
 class _Cuts(dict):
     """cut -> its ids as little-endian bytes; unseen cuts are encoded on first use.
 
-    A word of Latin letters is one piece for both tokenizers, so the merges alone decide its ids.  A mark after a letter is always a split of its own, and so is a line break between two visible
-    characters: such cuts are put together from their parts.
+    A word of Latin letters is one piece for both tokenizers, so the merges alone decide its ids.  A mark after a Latin letter is always a split of its own, and so is a line break between two visible
+    characters: such cuts are put together from their parts.  The dotted capital I counts as no such letter: its lower case ends in a combining dot, which joins the mark.
     """
 
     def __init__(self, encode, merged, before: str, lower: bool, bare: _Cuts | None = None):
@@ -66,11 +68,11 @@ class _Cuts(dict):
         if made is None:
             if cut.isalpha() and (cut.isascii() or max(cut) < _LATIN_END and _DOTTED_I not in cut):
                 made = self.merged(self.before, cut.lower() if self.lower else cut)
-            elif len(cut) > 1 and cut[-1] in _MARKS and cut[-2].isalpha():
+            elif len(cut) > 1 and cut[-1] in _MARKS and cut[-2].isalpha() and max(cut) < _LATIN_END and _DOTTED_I not in cut:
                 made = self[cut[:-1]] + self.bare[cut[-1]]
             elif "\n" in cut and not self.lower and (found := re.fullmatch(r"(\S+)\n(\S+)", cut)):
                 made = self[found[1]] + self.bare["\n"] + self.bare[found[2]]
-            elif self.lower and cut.isascii() and cut != cut.lower():
+            elif self.lower and cut.isascii() and _SPECIAL not in cut and cut != cut.lower():
                 made = self[cut.lower()]
             else:
                 made = self.encode(self.before + cut)
