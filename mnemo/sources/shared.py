@@ -38,6 +38,12 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, in whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def clean(spark: SparkSession) -> bool:
     """Delete all intermediate tables of this session; frames that still read them fail from then on."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
