@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemo.functions.expressions import contradicts, cosine, evidence
+from mnemo.operators.replay import replay  # noqa: F401
 
 
 NEEDED = ("fact_id", "object_value", "provenance_text", "embedding")
@@ -116,41 +116,15 @@ def supersede(facts: DataFrame, threshold: float | None = None, k: int = 10) ->
     return near.groupBy(F.col("p.fact_id").alias("fact_id")).agg(F.min_by(F.col("o.fact_id"), when("o")).alias("superseded_by"))
 
 
-def replay(facts: DataFrame, most: int = 10) -> DataFrame:
-    """(fact_id, superseded_by, valid_to, status): facts arriving in order of fact_id, each tested against those before it that are still in force.
+def resolutions(conflicts: DataFrame) -> DataFrame:
+    """The log of resolved conflicts: (fact_id, conflicting_fact_id, conflict_type, evidence_comparison, status, resolution_text)."""
+    action = resolve(conflicts)
+    text = F.when(F.col("action") == "supersede", "supersede=True").otherwise("keep_both")
+    return action.select("fact_id", "conflicting_fact_id", "conflict_type", F.col("stronger").alias("evidence_comparison"), F.lit("resolved").alias("status"), text.alias("resolution_text"))
 
-    Of the facts of its subject and predicate with another object the ``most`` lowest ids are its candidates; the later one in time
-    supersedes the other, at equal times the one that arrives.  The superseded one becomes inactive and ends when the other begins,
-    unless it has an end.  A group streams through one task; only facts still in force are held.
-    """
-    rows = facts.select(F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.col("fact_id").cast("long").alias("fact_id"), F.lower("object_value").alias("o"), F.unix_micros(F.coalesce("valid_from", "observed_at")).alias("t"),
-                        F.unix_micros("valid_to").alias("valid_to"), "status", F.col("superseded_by").cast("long").alias("superseded_by"))
-
-    def run(batches):
-        key, live = None, {}
-
-        def made(states):
-            return pa.RecordBatch.from_arrays([pa.array([s[c] for s in states], t) for c, t in (("id", pa.int64()), ("by", pa.int64()), ("valid_to", pa.int64()), ("status", pa.string()))], ["fact_id", "superseded_by", "ends", "status"])
-
-        for batch in batches:
-            done = []
-            for s, p, fact, o, t, valid_to, status, by in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (s, p) != key:
-                    done += live.values()
-                    key, live = (s, p), {}
-                new = {"id": fact, "o": o, "t": t, "valid_to": valid_to, "status": status, "by": by}
-                others = [x for x in live.values() if s is not None and p is not None and o is not None and x["o"] is not None and x["o"] != o][:most]
-                for old in others:
-                    newer, older = (new, old) if t is not None and old["t"] is not None and t >= old["t"] else (old, new)
-                    older |= {"by": newer["id"], "status": "inactive", "valid_to": newer["t"] if older["valid_to"] is None else older["valid_to"]}
-                    if older is old:
-                        done.append(live.pop(old["id"]))
-                if new["by"] is None:
-                    live[fact] = new
-                else:
-                    done.append(new)
-            yield made(done)
-        yield made(list(live.values()))
-
-    ordered = rows.repartition("s", "p").sortWithinPartitions("s", "p", "fact_id")
-    return ordered.mapInArrow(run, "fact_id long, superseded_by long, ends long, status string").select("fact_id", "superseded_by", F.timestamp_micros("ends").alias("valid_to"), "status")
+
+def applied(facts: DataFrame, log: DataFrame) -> DataFrame:
+    """``facts`` after the log's resolutions: a superseded fact names the fact that replaces it; of several the one of the largest id, which is resolved last."""
+    by = log.where("resolution_text = 'supersede=True'").groupBy(F.col("conflicting_fact_id").alias("_id")).agg(F.max("fact_id").alias("_by"))
+    joined = facts.join(by, F.col("fact_id") == F.col("_id"), "left")
+    return joined.withColumn("superseded_by", F.coalesce("_by", "superseded_by")).select(*facts.columns)
