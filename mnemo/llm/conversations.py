@@ -15,13 +15,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import runs
 from .common import materialize
 
 #: Fixed values of the repair: the costs of the edits, and of leaving a truncated turn.
@@ -188,50 +188,68 @@ def folded(elements: Iterator[dict]) -> dict:
     return out
 
 
-def _batch(conv: pa.ChunkedArray, e: dict) -> pa.RecordBatch:
-    m = e["matrix"]
-    row = {k: e[k] for k in ("part", "segment", *COUNTS, "first", "last")} | {"costs": [x and x[0] for x in m], "audits": [x and x[1] for x in m]}
-    kinds = {"part": pa.int32(), "costs": pa.list_(pa.int64()), "audits": pa.list_(pa.string())}
-    arrays = [pa.array([v], kinds.get(k, pa.string() if isinstance(v, str) else pa.int64())) for k, v in row.items()]
-    return pa.RecordBatch.from_arrays([conv.slice(0, 1).combine_chunks(), *arrays], ["conv_id", *row])
+def _batches(kind, elements: Iterator[dict], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Elements as record batches."""
+    names = ("part", "segment", *COUNTS, "first", "last")
+    kinds = {"part": pa.int32(), "first": pa.string(), "last": pa.string()}
+    held: list[dict] = []
+
+    def batch():
+        of = lambda k, t: pa.array([[x and x[k] for x in e["matrix"]] for e in held], pa.list_(t))
+        arrays = [pa.array([e["conv_id"] for e in held], _arrow(kind)), *(pa.array([e[c] for e in held], kinds.get(c, pa.int64())) for c in names), of(0, pa.int64()), of(1, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, ["conv_id", *names, "costs", "audits"])
+
+    chars = 0
+    for e in elements:
+        held.append(e)
+        chars += sum(len(x[1]) for x in e["matrix"] if x)
+        if len(held) == size or chars > 20_000_000:
+            yield batch()
+            held, chars = [], 0
+    yield batch()
 
 
 def of_segments(rows: DataFrame) -> DataFrame:
     """One element for the turns of a conversation in a partition, from the codes of its segments."""
-    kind = rows.schema["conv_id"].dataType.simpleString()
+    of = rows.schema["conv_id"].dataType
     count = lambda c: F.sum(F.col(c).cast("long")).alias(c)
     codes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]), "").alias("codes")
     segments = rows.groupBy("conv_id", "part", "segment").agg(*(count(c) for c in COUNTS[:3]), codes)
 
+    def element(conv, part, segment, blank, duplicate, truncated, codes):
+        initials = codes[::2]
+        illegal = sum(not legal(a, b) for a, b in zip(initials, initials[1:]))
+        return {"conv_id": conv, "part": part, "segment": segment, "blank": blank, "duplicate": duplicate, "truncated": truncated, "illegal": illegal, "first": initials[0], "last": initials[-1], "matrix": run_matrix(codes)}
+
+    def rows_of(batches):
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "segment", *COUNTS[:3], "codes")), strict=True)
+
     def run(batches):
-        for table in runs(batches, 2):
-            def elements(table=table):
-                for part, segment, blank, duplicate, truncated, codes in zip(*(table.column(c).to_pylist() for c in ("part", "segment", *COUNTS[:3], "codes")), strict=True):
-                    initials = codes[::2]
-                    illegal = sum(not legal(a, b) for a, b in zip(initials, initials[1:]))
-                    yield {"part": part, "segment": segment, "blank": blank, "duplicate": duplicate, "truncated": truncated, "illegal": illegal, "first": initials[0], "last": initials[-1], "matrix": run_matrix(codes)}
-            yield _batch(table.column("conv_id"), folded(elements()))
+        return _batches(of, (folded(element(*r) for r in group) for _, group in groupby(rows_of(batches), key=lambda r: r[:2])))
 
     keys = ["conv_id", "part"]
-    return segments.repartition(*keys).sortWithinPartitions(*keys, "segment").mapInArrow(run, f"conv_id {kind}, {ELEMENT}")
+    return segments.repartition(*keys).sortWithinPartitions(*keys, "segment").mapInArrow(run, f"conv_id {of.simpleString()}, {ELEMENT}")
 
 
-def tree(elements: DataFrame) -> DataFrame:
-    """One element a conversation: parts of ``FAN`` neighbouring partitions are joined, then of FAN times as many, and so on."""
-    kind = elements.schema["conv_id"].dataType.simpleString()
+def tree(elements: DataFrame, last: int | None) -> DataFrame:
+    """One element a conversation: parts of ``FAN`` neighbouring partitions are joined, then of FAN times as many, and so on up to partition ``last``."""
+    of = elements.schema["conv_id"].dataType
 
-    def run(batches):
-        for table in runs(batches, 2):
-            rows = table.to_pylist()
-            for r in rows:
+    def rows_of(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
                 r["matrix"] = tuple(None if c is None else (c, a) for c, a in zip(r.pop("costs"), r.pop("audits"), strict=True))
-            yield _batch(table.column("conv_id"), folded(iter(rows)))
+                yield r
+
+    def run(batches):
+        return _batches(of, (folded(group) for _, group in groupby(rows_of(batches), key=lambda r: (r["conv_id"], r["near"]))))
 
-    last, span = elements.agg(F.max("part")).first()[0], 1
+    span = 1
     while last is not None and span <= last:
         span *= FAN
         near = elements.withColumn("near", F.floor(F.col("part") / span)).select("conv_id", "near", *[c for c in elements.columns if c != "conv_id"])
-        elements = near.repartition("conv_id", "near").sortWithinPartitions("conv_id", "near", "part").mapInArrow(run, f"conv_id {kind}, {ELEMENT}")
+        elements = near.repartition("conv_id", "near").sortWithinPartitions("conv_id", "near", "part").mapInArrow(run, f"conv_id {of.simpleString()}, {ELEMENT}")
     return elements
 
 
@@ -351,7 +369,8 @@ def repair(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(" ")).alias(c)
     rows = materialize(ordered(turns.select("conv_id", "turn", text("role"), text("text"))), "turns")
-    return rows, materialize(solved(tree(of_segments(coded(rows)))), "audits")
+    last = rows.agg(F.max("part")).first()[0]
+    return rows, materialize(solved(tree(of_segments(coded(rows)), last)), "audits")
 
 
 def structure(conversations: DataFrame, turns: DataFrame) -> DataFrame:
