@@ -31,6 +31,8 @@ from .tokenizing import text_slices
 LONGEST, CUT = 5, 2_000
 #: Distinct pieces and characters of a block, words a bucket is planned for, most buckets, memory of a bucket's duckdb before it goes to disk.
 PIECES, CHARS, BUCKET_WORDS, MAX_BUCKETS, MEMORY = 100_000, 6_000_000, 2_000_000, 4_096, "200MB"
+#: Parts of a language that are ranked by themselves before the whole is.
+SLICES = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PIECES = re.compile("[.,;:!?\n-\r]")
 _SPACES = re.compile(" {2,}")
@@ -310,6 +312,8 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 2000, percent: i
     """
     grams, total = frequent_grams(docs, least)
     found = materialize(uncovered(scored(grams, total, factor), grams, percent), "phrases")
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    first = F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SLICES))).orderBy(*order))  # so that one task gets at most SLICES * most rows
+    ranked = found.withColumn("rank", first).where(F.col("rank") <= most)
+    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
