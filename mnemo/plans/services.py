@@ -294,10 +294,25 @@ def stream_events_24h(spark, sf_dir):
     return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("SELECT event_type AS predicate, count(*) AS n, count(*) FILTER (f >= 3) AS linked FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS f FROM events) GROUP BY 1")
+@query("SELECT event_type AS predicate, event_id AS fact_id, f AS frequency, f >= 3 AS linked FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS f FROM events)")
 def stream_schema_gate(spark, sf_dir):
-    """How many uses of each predicate a stream with keyed state links."""
-    path = new_path(spark, "stream")
+    """The uses of each predicate, numbered in order of time by a stream with keyed state and timers; the stream is closed at the end."""
     rows = event_stream(spark, sf_dir).select(F.col("event_type").alias("predicate"), F.col("event_id").alias("fact_id"), F.col("ts").cast("timestamp").alias("observed_at"))
-    out = live.run_once(live.schema_gate(rows), f"{path}/out", f"{path}/state")
-    return out.groupBy("predicate").agg(F.max("frequency").alias("n"), F.count_if("linked").alias("linked"))
+    return live.run_closed(rows, "observed_at", live.schema_gate, new_path(spark, "stream"))
+
+
+STREAM_SALIENCE = """WITH RECURSIVE log AS (SELECT user_id AS fact_id, event_id AS feedback_id, ts, CASE event_type WHEN 'purchase' THEN 'approval' WHEN 'error' THEN 'rebuttal' WHEN 'view' THEN 'neutral' ELSE event_type END AS signal,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT fact_id, 0::BIGINT AS feedback_id, 0::BIGINT AS k, 1.0::DOUBLE AS salience, 0::BIGINT AS reinforced, epoch_us(ts) AS since FROM log WHERE k = 1
+  UNION ALL SELECT log.fact_id, log.feedback_id, log.k, CASE WHEN signal IN ('approval', 'rebuttal') THEN round(greatest(0, least(1, greatest(0, least(1, salience * exp(-0.01 * (epoch_us(ts) - since) / 86400e6))) * CASE signal WHEN 'approval' THEN 1.3 ELSE 0.5 END)), 4) ELSE salience END::DOUBLE,
+  reinforced + CASE WHEN signal = 'approval' THEN 1 ELSE 0 END, CASE WHEN signal IN ('approval', 'rebuttal') THEN epoch_us(ts) ELSE since END FROM f JOIN log ON log.fact_id = f.fact_id AND log.k = f.k + 1)
+SELECT fact_id, feedback_id, salience, reinforced FROM f WHERE k > 0"""
+
+
+@query(STREAM_SALIENCE)
+def stream_salience(spark, sf_dir):
+    """Salience after each signal of a feedback stream, folded in order of time."""
+    kind = F.col("event_type")
+    signal = F.when(kind == "purchase", "approval").when(kind == "error", "rebuttal").when(kind == "view", "neutral").otherwise(kind)
+    rows = event_stream(spark, sf_dir).select(F.col("user_id").cast("long").alias("fact_id"), F.col("event_id").alias("feedback_id"), F.col("ts").cast("timestamp").alias("ts"), signal.alias("signal"))
+    return live.run_closed(rows, "ts", live.salience, new_path(spark, "stream")).drop("ts")

@@ -1,11 +1,18 @@
-"""Streaming twins: windowed event counts and the incremental folder and memory syncs."""
+"""Streaming twins: windowed event counts, folds in order of event time, and the incremental folder and memory syncs."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemo.functions.expressions import DEFAULT_DECAY
+from mnemo.operators.facts import MULTIPLIERS
+
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "48 hours") -> DataFrame:
     """Events per type and window; rows later than ``late`` are left out explicitly by the watermark."""
@@ -38,21 +45,119 @@ def sync(source: DataFrame, target_path: str, key: list[str], checkpoint: str):
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def schema_gate(facts: DataFrame, least: int = 3) -> DataFrame:
-    """(predicate, fact_id, frequency, linked) of a stream of facts: keyed state counts the uses of each predicate."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def in_order(rows: DataFrame, by: str, time: str, order: str, start: tuple, state: str, step: Callable, output: str, late: str) -> DataFrame:
+    """Fold the rows of each key in order of ``time``, then of the column ``order``, whatever order they come in.
+
+    Rows wait in keyed state until the watermark, ``late`` behind the newest time seen, has passed their time; a timer then folds those that are due:
+    ``step(state, row)`` gives the new state and an output row.  ``state`` and ``output`` are schemas, ``start`` the first state.  Rows later than ``late`` are left out by the
+    watermark; a row without a time is folded as if it had the watermark's.  Rows whose ``order`` is null only move the watermark.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    columns = rows.columns
+    kinds = dict(rows.dtypes)
+    waiting_schema = ", ".join(f"{c} {'long' if c == time else kinds[c]}" for c in columns if c != by)
+    names = [c for c in columns if c != by]
+    at, place = names.index(time), names.index(order)
+
+    class Fold(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.now = handle.getValueState("now", state)
+            self.waiting = handle.getListState("waiting", waiting_schema)
+
+        def handleInputRows(self, key, rows, timerValues):
+            mark = timerValues.getCurrentWatermarkInMs()
+            new = []
+            for pdf in rows:
+                pdf = pdf[pdf[order].notna()]
+                micros = pdf[time].map(lambda t: mark * 1000 if pd.isna(t) else (t.value // 1000))
+                for row in pdf.assign(**{time: micros})[names].itertuples(index=False, name=None):
+                    new.append(tuple(x.item() if hasattr(x, "item") else x for x in row))
+            if new:
+                self.waiting.appendList(new)
+                self.handle.registerTimer(max(mark + 1, min(r[at] for r in new) // 1000 + 1))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            mark = timerValues.getCurrentWatermarkInMs()
+            held = [tuple(r) for r in self.waiting.get()]
+            due = sorted((r for r in held if r[at] // 1000 < mark), key=lambda r: (r[at], r[place]))
+            rest = [r for r in held if r[at] // 1000 >= mark]
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(min(r[at] for r in rest) // 1000 + 1)
+            else:
+                self.waiting.clear()
+            now, made = (tuple(self.now.get()) if self.now.exists() else start), []
+            for row in due:
+                now, out = step(now, dict(zip(names, row, strict=True)))
+                made.append((key[0], *out))
+            if due:
+                self.now.update(now)
+                yield pd.DataFrame(made, columns=[c.split()[0] for c in output.split(", ")])
+
+        def close(self):
+            pass
+
+    timed = rows.withWatermark(time, late)
+    return timed.groupBy(by).transformWithStateInPandas(statefulProcessor=Fold(), outputStructType=output, outputMode="Append", timeMode="EventTime")
+
+
+def schema_gate(facts: DataFrame, least: int = 3, late: str = "2 days") -> DataFrame:
+    """(predicate, fact_id, frequency, linked) of a stream of facts (predicate, fact_id, observed_at): uses of a predicate numbered in order of time, linked from the ``least``-th on."""
+    def step(now, row):
+        n = now[0] + 1
+        return (n,), (row["fact_id"], n, n >= least)
+
+    return in_order(facts.select("predicate", "fact_id", "observed_at"), "predicate", "observed_at", "fact_id", (0,), "n long", step, "predicate string, fact_id long, frequency long, linked boolean", late)
+
+
+def salience(feedback: DataFrame, late: str = "2 days", decay: float = DEFAULT_DECAY) -> DataFrame:
+    """(fact_id, feedback_id, ts, salience, reinforced) after each signal of a stream (fact_id, feedback_id, ts, signal), folded in order of time.
+
+    A fact starts with salience 1 at its first signal; a signal decays what there is, approval and rebuttal multiply it, and the result is rounded to 4 digits; other signals change nothing.
+    """
+    def step(now, row):
+        value, reinforced, since = now
+        ts, signal = row["ts"], row["signal"]
+        since = since or ts
+        if signal in MULTIPLIERS:
+            decayed = max(0.0, min(1.0, value * math.exp(-decay * (ts - since) / 86400e6)))
+            value = math.floor(max(0.0, min(1.0, decayed * MULTIPLIERS[signal])) * 1e4 + 0.5) / 1e4
+            reinforced, since = reinforced + (signal == "approval"), ts
+        return (value, reinforced, since), (row["feedback_id"], ts, value, reinforced)
+
+    out = in_order(feedback.select("fact_id", "feedback_id", "ts", "signal"), "fact_id", "ts", "feedback_id", (1.0, 0, 0), "value double, reinforced long, since long", step, "fact_id long, feedback_id long, micros long, salience double, reinforced long", late)
+    return out.select("fact_id", "feedback_id", F.timestamp_micros("micros").alias("ts"), "salience", "reinforced")
+
 
-    def count(key, batches, state):
-        n = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values(["observed_at", "fact_id"])
-            frequency = range(n + 1, n + 1 + len(pdf))
-            n += len(pdf)
-            yield pd.DataFrame({"predicate": key[0], "fact_id": pdf["fact_id"].to_numpy(), "frequency": frequency, "linked": [k >= least for k in frequency]})
-        state.update((n,))
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
-    rows = facts.select("predicate", "fact_id", "observed_at")
-    return rows.groupBy("predicate").applyInPandasWithState(count, "predicate string, fact_id long, frequency long, linked boolean", "n long", "append", GroupStateTimeout.NoTimeout)
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which keyed state with timers needs."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
+def closing(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` and what ``close_stream`` writes to ``folder``: rows of nulls, but for the time that moves the watermark on."""
+    spark = rows.sparkSession
+    (spark._jvm.org.apache.hadoop.fs.Path(folder)).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(folder))
+
+
+def close_stream(rows: DataFrame, time: str, folder: str, end: str = "2262-01-01 00:00:00") -> None:
+    """Lets the watermark pass everything that waits; rows that come later are late."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    one = rows.sparkSession.range(1).select(*(F.to_timestamp(F.lit(end)).alias(c) if c == time else F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+    one.write.mode("append").parquet(folder)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -60,3 +165,12 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     spark = stream.sparkSession
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def run_closed(rows: DataFrame, time: str, fold: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Fold all of a stream that is available, close it and read what it wrote."""
+    stream = fold(closing(rows, f"{path}/end"))
+    with rocksdb(rows.sparkSession):
+        run_once(stream, f"{path}/out", f"{path}/state")
+        close_stream(rows, time, f"{path}/end")
+        return run_once(stream, f"{path}/out", f"{path}/state")
