@@ -5,7 +5,8 @@ many documents there are: large lengths are sorted and split into groups of equa
 rounded up to its largest member; a configuration program over the few rounded sizes (column
 generation, priced by a knapsack) says how often each configuration is used; actual pieces take the
 places of the rounded ones; the small pieces go best-fit, longest first, into what is left.  Every
-step of the plan says "ranks r..r+n of length L go to sequences s..s+n at offset o", so the rows are
+plan is made for a few bounds between large and small, and the one of fewest sequences is kept.  Every
+step of it says "ranks r..r+n of length L go to sequences s..s+n at offset o", so the rows are
 placed by one join on bounded data.
 """
 
@@ -120,6 +121,16 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, max_colum
     return [(basis[:, j].astype(int), float(use[j])) for j in range(k) if use[j] > 0]
 
 
+def best_plan(counts: dict[int, int], capacity: int = 1024, groups: int = 96, fractions: tuple[float, ...] = (0.5, 0.4, 0.3)) -> list[tuple[int, int, int, int, int]]:
+    """The plan of fewest sequences among those that call lengths above each fraction of the capacity large.
+
+    At one half a configuration holds one large piece, and the plan equals best fit with the longest first, so none is worse than that; smaller fractions help
+    where few lengths leave no small pieces for the gaps.
+    """
+    plans = [plan_packing(counts, capacity, groups, f) for f in fractions]
+    return min(plans, key=lambda runs: max((first + n for _, _, n, first, _ in runs), default=0))
+
+
 def plan_packing(counts: dict[int, int], capacity: int = 1024, groups: int = 96,
                  large_fraction: float = 0.3) -> list[tuple[int, int, int, int, int]]:
     """Place a histogram of lengths: rows (length, first rank, number, first sequence, offset).
@@ -231,7 +242,7 @@ def ranked(pieces: DataFrame, rows_per_salt: int = 5000) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2,
-                   groups: int = 96, large_fraction: float = 0.3, with_ids: bool = False) -> DataFrame:
+                   groups: int = 96, fractions: tuple[float, ...] = (0.5, 0.4, 0.3), with_ids: bool = False) -> DataFrame:
     """Place every piece of every document: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored.  A null or empty text is one piece
@@ -241,7 +252,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id, with_ids), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     by_length: dict[int, list[tuple[int, int, int, int]]] = {}
-    for length, rank, n, first, offset in plan_packing(counts, capacity, groups, large_fraction):
+    for length, rank, n, first, offset in best_plan(counts, capacity, groups, fractions):
         by_length.setdefault(length, []).append((rank, n, first, offset))
     table = {x: tuple(np.array(c) for c in zip(*sorted(runs), strict=True)) for x, runs in by_length.items()}
 

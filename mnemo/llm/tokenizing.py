@@ -68,7 +68,7 @@ class _Cuts(dict):
         if made is None:
             if cut.isalpha() and (cut.isascii() or max(cut) < _LATIN_END and _DOTTED_I not in cut):
                 made = self.merged(self.before, cut.lower() if self.lower else cut)
-            elif len(cut) > 1 and cut[-1] in _MARKS and cut[-2].isalpha() and max(cut) < _LATIN_END and _DOTTED_I not in cut:
+            elif len(cut) > 1 and cut[-1] in _MARKS and cut[-2].isalpha() and (cut.isascii() or max(cut) < _LATIN_END and _DOTTED_I not in cut):
                 made = self[cut[:-1]] + self.bare[cut[-1]]
             elif "\n" in cut and not self.lower and (found := re.fullmatch(r"(\S+)\n(\S+)", cut)):
                 made = self[found[1]] + self.bare["\n"] + self.bare[found[2]]
