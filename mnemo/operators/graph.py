@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.functions.expressions import cosine
+from mnemo.operators.trigrams import contained
 from mnemo.sources.shared import cut_lineage
 
 #: Edges of one source that stay together.
@@ -94,8 +95,8 @@ def ppr_graph(facts: DataFrame, bridges: DataFrame, entities: DataFrame) -> tupl
     facts = facts.withColumn("similarity", F.greatest(F.lit(0.0), "similarity"))
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     held = bridges.select("fact_id", "passage").distinct().join(F.broadcast(facts.select("fact_id", "similarity")), "fact_id")
-    name = F.trim(F.lower("name"))
-    named = entities.where(F.length(name) >= 3).join(F.broadcast(facts), F.contains(F.lower("text"), name)).select("entity", "fact_id", "similarity").distinct()  # facts are bounded
+    found = contained(entities.select("name"), facts.select(F.col("fact_id").alias("id"), "text")).withColumnRenamed("name", "_name")
+    named = entities.join(found, F.trim(F.lower("name")) == F.col("_name")).select("entity", F.col("id").alias("fact_id")).join(F.broadcast(facts.select("fact_id", "similarity")), "fact_id").select("entity", "fact_id", "similarity").distinct()
     edges = held.select(node("f", "fact_id").alias("source"), node("p", "passage").alias("target"), F.lit(1.0).alias("weight")).unionByName(
         named.select(node("e", "entity").alias("source"), node("f", "fact_id").alias("target"), F.lit(0.5).alias("weight")))
     seeds = facts.select(node("f", "fact_id").alias("node"), F.col("similarity").alias("rank"))

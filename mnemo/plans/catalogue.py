@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemo.functions import expressions as X
-from mnemo.operators import conflicts, facts as facts_, graph, hierarchy, ingest, monitoring, retrieval
+from mnemo.operators import conflicts, facts as facts_, graph, hierarchy, ingest, monitoring, retrieval, trigrams
 from mnemo.sources.derived import facts, graph_edges, k_mod, table
 
 AS_OF, PAST = "2024-02-01 00:00:00", "2024-01-15 00:00:00"
@@ -334,8 +334,9 @@ def pagerank_directed(spark, sf_dir):
 def entity_fact_match(spark, sf_dir):
     n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     named = c.join(F.broadcast(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("own"))), "c_nationkey")
-    text = F.lower(F.concat_ws(" ", "c_name", "c_mktsegment", "own"))
-    return named.join(F.broadcast(n), (F.length("n_name") >= 3) & F.contains(text, F.lower("n_name"))).select(F.col("n_name").alias("entity"), F.col("c_custkey").alias("fact_id"))
+    texts = named.select(F.col("c_custkey").alias("id"), F.concat_ws(" ", "c_name", "c_mktsegment", "own").alias("text"))
+    found = trigrams.contained(n.select(F.col("n_name").alias("name")), texts)
+    return n.join(found, F.trim(F.lower("n_name")) == F.col("name")).select(F.col("n_name").alias("entity"), F.col("id").alias("fact_id"))
 
 
 @query(f"WITH {FACTS}, s AS (SELECT subject, greatest(0, avg(list_cosine_similarity(embedding, q))) / ln(count(*) + 1 + exp(1)) AS v FROM facts, query GROUP BY 1) SELECT subject, round(v / (SELECT sum(v) FROM s WHERE v > 0), 6) AS mass FROM s WHERE v > 0")

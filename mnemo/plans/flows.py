@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemo.operators import conflicts, replay
-from mnemo.plans.catalogue import FACTS, THRESHOLD, query
+from mnemo.operators import conflicts, replay, trigrams
+from mnemo.plans.catalogue import CHUNKS, FACTS, ORACLE_SQL, THRESHOLD, chunks, query
 from mnemo.plans.services import contradicting, pairs_sql
-from mnemo.sources.derived import facts
+from mnemo.sources.derived import facts, table
+from mnemo.sources.shared import new_path
 
 REPLAY_SQL = f"""WITH RECURSIVE {FACTS},
 g AS MATERIALIZED (SELECT fact_id, lower(subject) AS s, lower(predicate) AS p, lower(object_value) AS o, observed_at AS t, valid_to, status, superseded_by, embedding, row_number() OVER (PARTITION BY lower(subject), lower(predicate) ORDER BY fact_id) AS k FROM facts),
@@ -54,3 +55,21 @@ def conflicts_resolved(spark, sf_dir):
     n = log.groupBy("fact_id").agg(F.count(F.lit(1)).alias("resolved"))
     after = conflicts.applied(f, log).select("fact_id", "superseded_by")
     return after.join(n, "fact_id", "left").select("fact_id", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"), F.coalesce("resolved", F.lit(0)).alias("resolved"))
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, ordinal, title FROM (SELECT c.doc_id, ordinal, content, source AS title FROM chunks c JOIN documents d ON d.doc_id = c.doc_id) WHERE content ILIKE '%the_t%ing%' OR title ILIKE '%the_t%ing%' OR content ILIKE '%src1%' OR title ILIKE '%src1%'")
+def chunks_by_trigrams(spark, sf_dir):
+    """Chunks whose content or title holds either of two patterns, through an index of trigrams; wildcards stay live."""
+    rows = chunks(spark, sf_dir, False).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title")), "doc_id")
+    index = trigrams.TrigramIndex(spark, new_path(spark, "trigrams"), ["doc_id", "ordinal"], ["content", "title"]).build(rows)
+    found = index.search(rows, "%the_t%ing%").unionByName(index.search(rows, "%src1%"))
+    return found.select("doc_id", "ordinal", "title").distinct()
+
+
+@query(ORACLE_SQL["facts_lexical"])
+def facts_by_trigrams(spark, sf_dir):
+    """The lexical search over four columns of the facts through an index of trigrams."""
+    f = facts(spark, sf_dir, False)
+    index = trigrams.TrigramIndex(spark, new_path(spark, "trigrams"), ["fact_id"], ["subject", "predicate", "object_value", "provenance_text"]).build(f)
+    hits = index.search(f, "%user:2%").orderBy(F.desc("confidence"), F.desc("observed_at"), "fact_id").limit(50)
+    return hits.select("fact_id", F.round("confidence", 4).alias("confidence"))
