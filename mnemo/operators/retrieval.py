@@ -7,9 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemo.functions.expressions import cosine, route_query
-
-#: Query rows that may be broadcast to the corpus; larger sets are scored in blocks of this size.
-MAX_QUERIES = 2000
+from mnemo.operators import neighbours
 
 
 def lexical(chunks: DataFrame, text: str, k: int) -> DataFrame:
@@ -32,18 +30,8 @@ def hybrid(chunks: DataFrame, text: str, query: list[float], k: int) -> DataFram
 
 
 def top_k_of_each(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, rank, similarity): the k nearest vectors of every query, a stated query set in blocks."""
-    n = queries.count()
-    blocks = max(1, -(-n // MAX_QUERIES))
-    out = None
-    for b in range(blocks):
-        some = queries.where(F.expr(f"pmod(xxhash64(query_id), {blocks}) = {b}"))
-        pairs = corpus.join(F.broadcast(some.select("query_id", F.col("embedding").alias("q")))).where("query_id <> vec_id")
-        scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("similarity"))
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-        top = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
+    """(query_id, vec_id, rank, similarity): the k nearest vectors of every query; cells that can hold none are not compared."""
+    return neighbours.nearest(corpus, queries, k)[0]
 
 
 def context_bundle(query: str, facts: DataFrame, passages: DataFrame, warnings: list[str] | None = None) -> DataFrame:
