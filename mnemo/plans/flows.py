@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mnemo.functions import metadata
 from mnemo.operators import conflicts, replay, trigrams
+from mnemo.operators.store import StoredTable
 from mnemo.plans.catalogue import CHUNKS, FACTS, ORACLE_SQL, THRESHOLD, chunks, query
-from mnemo.plans.services import contradicting, pairs_sql
+from mnemo.plans.services import LEGACY, contradicting, pairs_sql
 from mnemo.sources.derived import facts, table
+from mnemo.sources.folders import read_folders
+from mnemo.sources.keyset import KeysetLoad
 from mnemo.sources.shared import new_path
 
 REPLAY_SQL = f"""WITH RECURSIVE {FACTS},
@@ -73,3 +77,43 @@ def facts_by_trigrams(spark, sf_dir):
     index = trigrams.TrigramIndex(spark, new_path(spark, "trigrams"), ["fact_id"], ["subject", "predicate", "object_value", "provenance_text"]).build(f)
     hits = index.search(f, "%user:2%").orderBy(F.desc("confidence"), F.desc("observed_at"), "fact_id").limit(50)
     return hits.select("fact_id", F.round("confidence", 4).alias("confidence"))
+
+
+@query("SELECT d.doc_id AS legacy_id, lang, n_chars, (SELECT count(*) FROM documents) AS audited FROM documents d")
+def legacy_load(spark, sf_dir):
+    """All documents loaded by key ranges in two runs, of which the first stops after two pages; with the rows that the audit counts."""
+    path = new_path(spark, "legacy")
+    target = StoredTable(spark, f"{path}/rows", ["id"], "id string, doc_id long, lang string, n_chars long", buckets=4)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    for most in (2, None):
+        load = KeysetLoad(docs, "doc_id", target, path, LEGACY, "rag:documents:", 4)
+        load.run(most=most)
+    audited = load.audit().agg(F.sum("source_rows").alias("audited"))
+    return target.read().select(F.col("doc_id").alias("legacy_id"), "lang", "n_chars").crossJoin(audited)  # one row
+
+
+@query("""SELECT doc_id, lang, source AS origin, n_chars + 1 AS size, n_chars % 2 = 0 AS has_note, 'checked' AS state, lang = 'fr' OR text ILIKE '%ment%' AS found
+FROM documents""")
+def metadata_variant(spark, sf_dir):
+    """Nested metadata read, tested for keys, merged, set below a path and searched."""
+    d = table(spark, sf_dir, "documents")
+    note = F.when(F.col("n_chars") % 2 == 0, F.lit('{"note": null, "lang": "?"}')).otherwise(F.lit('{"lang": "?"}'))
+    own = F.to_json(F.struct("lang", F.struct(F.col("source").alias("origin"), F.struct(F.col("n_chars").alias("size")).alias("file")).alias("from"), F.concat(F.lit("tongue="), "lang").alias("tag")))
+    m = metadata.merged(metadata.parse(note), metadata.parse(own))
+    m = metadata.with_value(metadata.with_value(m, ["from", "file", "size"], F.col("n_chars") + 1), ["state"], F.lit("checked"))
+    rows = d.select("doc_id", "text", m.alias("m"))
+    at = lambda p, kind="string": metadata.read(F.col("m"), p, kind)
+    return rows.select("doc_id", at("lang").alias("lang"), at("from.origin").alias("origin"), at("from.file.size", "long").alias("size"), metadata.has_key(F.col("m"), "note").alias("has_note"), at("state").alias("state"),
+                       (metadata.search(F.col("text"), F.col("m"), "%ment%") | metadata.search(F.lit(None).cast("string"), F.col("m"), "%tongue=fr%")).alias("found"))
+
+
+@query("SELECT coalesce(source, 'none') AS folder, count(*) AS lines, CAST(sum(length('doc ' || doc_id) + 1) AS BIGINT) AS bytes FROM documents WHERE source IS NULL OR source <> 'src3' GROUP BY 1")
+def folder_walk(spark, sf_dir):
+    """A tree of text files, one folder a source of the documents, read without the folder of one source."""
+    root = new_path(spark, "tree")
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("value"))
+    docs.repartition("source").write.partitionBy("source").text(root)
+    files = read_folders(spark, root, "part-*", ["source=src3"]).where("status = 'ok'")
+    folder = F.regexp_extract("folder", "source=([^/]*)$", 1)
+    lines = F.size(F.split(F.col("content").cast("string"), "\n")) - 1
+    return files.groupBy(folder.alias("folder")).agg(F.sum(lines).alias("lines"), F.sum("length").alias("bytes"))
