@@ -9,14 +9,17 @@ from mnemo.functions.expressions import clamp01
 from mnemo.operators import facts as facts_
 
 REPLY = "entities array<struct<name:string,type:string>>, facts array<struct<subject:string,predicate:string,object:string,confidence:string>>"
-#: An object between fences.
+#: Fixed value: an object between fences.
 FENCE = r"(?s)```(?:json)?\s*(\{.*\})\s*```"
 
+#: Before a brace that opens an object with a quoted key.
+OPENING = r"(?=\{\s*[\"'])"
+
 
 def coerce_json(raw: Column) -> Column:
     """The reply as struct<entities, facts>; null where no object with either is in it.
 
-    A fenced object is taken out of its fence.  Else the whole text is tried, then the text from each opening brace
+    A fenced object is taken out of its fence.  Else the whole text is tried, then the text from each brace before a quoted key
     on, the first one that parses to an object with entities or facts; what follows a whole object does no harm.
     """
     text = F.trim(raw)
@@ -25,10 +28,12 @@ def coerce_json(raw: Column) -> Column:
     parse = lambda x: F.from_json(x, REPLY, {"mode": "PERMISSIVE"})
     keys = lambda x: F.json_object_keys(x)
     good = lambda x: F.coalesce(F.arrays_overlap(keys(x), F.array(F.lit("entities"), F.lit("facts"))), F.lit(False))
-    pieces = F.split(body, r"\{", -1)
-    starts = F.transform(F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda k: k < F.size(pieces)), lambda k: F.concat(F.lit("{"), F.array_join(F.slice(pieces, k + 1, F.size(pieces)), "{")))
-    tried = F.concat(F.array(body), starts)
-    return parse(F.try_element_at(F.filter(tried, good), F.lit(1)))
+    # only a brace before a quoted key can open such an object; the text is split there once, as the only element of an array
+    split = F.array(F.split(F.when(body.rlike("entities|facts"), body), OPENING, -1))
+    suffix = lambda pieces, k: F.array_join(F.slice(pieces, k, F.size(pieces)), "")
+    tried = lambda pieces, k: F.transform(F.array(suffix(pieces, k)), lambda x: F.when(good(x), x))[0]
+    first = F.transform(split, lambda pieces: F.aggregate(F.sequence(F.lit(1), F.size(pieces)), F.lit(None).cast("string"), lambda found, k: F.coalesce(found, tried(pieces, k))))  # stops building at the first
+    return parse(F.coalesce(F.when(good(body), body), F.get(first, F.lit(0))))
 
 
 def cleaned(reply: Column) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from mnemo.functions import metadata
 from mnemo.operators import conflicts, replay, trigrams
+from mnemo.operators.indexing import StoredHierarchy
 from mnemo.operators.store import StoredTable
 from mnemo.plans.catalogue import CHUNKS, FACTS, ORACLE_SQL, THRESHOLD, chunks, query
-from mnemo.plans.services import LEGACY, contradicting, pairs_sql
+from mnemo.plans.services import LEGACY, contradicting, labelled, pairs_sql
 from mnemo.sources.derived import facts, table
 from mnemo.sources.folders import read_folders
 from mnemo.sources.keyset import KeysetLoad
@@ -117,3 +118,20 @@ def folder_walk(spark, sf_dir):
     folder = F.regexp_extract("folder", "source=([^/]*)$", 1)
     lines = F.size(F.split(F.col("content").cast("string"), "\n")) - 1
     return files.groupBy(folder.alias("folder")).agg(F.sum(lines).alias("lines"), F.sum("length").alias("bytes"))
+
+
+def entities_of(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "view", "person").when(F.col("event_type") == "click", "org").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("user:"), "user_id").alias("entity"), kind.alias("entity_type"), F.lit("web").alias("domain"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@query(f"SELECT * FROM ({ORACLE_SQL['hierarchy_edges']}) UNION SELECT * FROM ({ORACLE_SQL['hierarchy_entity_edges']})")
+def hierarchy_incremental(spark, sf_dir):
+    """The hierarchy of all facts and entities, indexed in two batches and once more as a whole."""
+    f, e = labelled(spark, sf_dir), entities_of(spark, sf_dir)
+    stored = StoredHierarchy(spark, new_path(spark, "hierarchy"), 8)
+    early = lambda c: F.col(c) < "2024-01-16"
+    stored.index(f.where(early("observed_at")), "a", e.where(early("at")))
+    stored.index(f.where(~early("observed_at")), "b", e.where(~early("at")))
+    stored.index(f, "c", e)
+    return stored.edges()
