@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.functions.expressions import candidate_score, cosine, subtheme, theme_of
+from mnemo.functions.expressions import candidate_score, cosine, route_query, subtheme, theme_of
 from mnemo.operators.facts import matches
-from mnemo.operators.graph import reachable
 
 #: layer pair -> edge weight.
 WEIGHTS = {"domain": 0.7, "theme": 0.8, "subtheme": 0.9, "evidence": 1.0, "entity": 0.6}
@@ -65,10 +64,12 @@ def retrieve(facts: DataFrame, query: list[float], k: int, domains: DataFrame |
 
 
 def below(edges: DataFrame, domains: DataFrame) -> DataFrame:
-    """(fact) labels reachable from the domains (domain) along ``routes_to`` edges only."""
-    roots = domains.select(F.concat(F.lit("domain:"), "domain").alias("node"))
-    found = reachable(edges.where("edge_type = 'routes_to'").select("source", "target"), roots)
-    return found.where(F.col("node").startswith("fact:")).select(F.expr("substring(node, 6)").alias("fact"))
+    """(fact) labels below the domains (domain) along ``routes_to`` edges: theme, subtheme, fact."""
+    step = edges.where("edge_type = 'routes_to'").select("source", "target")
+    at = domains.select(F.concat(F.lit("domain:"), "domain").alias("node"))
+    for _ in range(3):  # the layers below a domain
+        at = at.join(step, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
+    return at.where(F.col("node").startswith("fact:")).select(F.expr("substring(node, 6)").alias("fact"))
 
 
 def retrieve_routed(facts: DataFrame, edges: DataFrame, domains: DataFrame, query: list[float] | None, k: int, text: str = "", top_domains: int = 3) -> DataFrame:
@@ -91,6 +92,23 @@ def evidence_passages(facts: DataFrame, edges: DataFrame, passages: DataFrame) -
     return start.join(hop, "source").join(passages, "passage").select("fact_id", "passage", "passage_text").distinct()
 
 
+def answer(facts: DataFrame, edges: DataFrame, domains: DataFrame, passages: DataFrame, question: str, query: list[float] | None, k: int, top_domains: int = 3) -> DataFrame:
+    """The whole answer to a question as rows (mode, kind, id, score): its routing path, the chosen domains, the facts and their passages, each passage once.
+
+    Steps of the path are ``level:label``.  Without a query vector facts are found by the question's text, no domain is chosen, and no passages are given.
+    """
+    found = retrieve_routed(facts, edges, domains, query, k, question, top_domains)
+    spark = facts.sparkSession
+    path = spark.range(1).select(F.explode(route_query(F.lit(question))).alias("s")).select(F.lit("path").alias("kind"), F.concat_ws(":", "s.level", "s.label").alias("id"), F.col("s.score").alias("score"))
+    out = path.unionByName(found.select(F.lit("fact").alias("kind"), F.col("fact_id").cast("string").alias("id"), "score"))
+    if query is not None:
+        chosen = route_domains(domains, query, top_domains).select(F.lit("domain").alias("kind"), F.col("domain").alias("id"), F.col("similarity").alias("score"))
+        texts = evidence_passages(facts.join(found.select("fact_id"), "fact_id", "left_semi"), edges, passages)
+        out = out.unionByName(chosen).unionByName(texts.select(F.lit("passage").alias("kind"), F.col("passage").alias("id")).distinct().withColumn("score", F.lit(None).cast("double")))
+    mode = found.agg(F.first("mode").alias("mode"))
+    return out.crossJoin(F.broadcast(mode)).select("mode", "kind", "id", "score")  # one row
+
+
 def backfill_candidates(facts: DataFrame, indexed: DataFrame, documents: DataFrame, default: str = "bibliotheque") -> DataFrame:
     """(fact_id, domain) of facts that have no node in ``indexed`` (fact_id); the domain is their document's, or the default."""
     todo = facts.join(indexed.select("fact_id"), "fact_id", "left_anti").select("fact_id", "doc_id")

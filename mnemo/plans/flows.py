@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemo.functions import metadata
-from mnemo.operators import conflicts, replay, trigrams
+from mnemo.operators import conflicts, hierarchy, replay, trigrams
 from mnemo.operators.indexing import StoredHierarchy
 from mnemo.operators.store import StoredTable
-from mnemo.plans.catalogue import CHUNKS, FACTS, ORACLE_SQL, THRESHOLD, chunks, query
+from mnemo.plans.catalogue import CHUNKS, DOMAINS_SQL, FACTS, ORACLE_SQL, ROUTE_SQL, THRESHOLD, chunks, domains, query, query_vector
 from mnemo.plans.services import LEGACY, contradicting, labelled, pairs_sql
 from mnemo.sources.derived import facts, table
 from mnemo.sources.folders import read_folders
@@ -135,3 +135,18 @@ def hierarchy_incremental(spark, sf_dir):
     stored.index(f.where(~early("observed_at")), "b", e.where(~early("at")))
     stored.index(f, "c", e)
     return stored.edges()
+
+
+QUESTION = "Which project stores the memory of an agent?"
+ROUTED_SQL = ROUTE_SQL.replace("WITH w AS", ", w AS").replace("FROM conversations WHERE text IS NOT NULL", f"FROM (SELECT 0 AS conv_id, 0 AS turn, '{QUESTION}' AS text)")
+ROUTED_WITH, ROUTED_TAIL = ROUTED_SQL.rsplit("SELECT conv_id, turn, p.level", 1)
+
+
+@query(f"WITH {FACTS}, {DOMAINS_SQL} {ROUTED_WITH}, steps AS (SELECT conv_id, turn, p.level{ROUTED_TAIL}), f AS (SELECT fact_id, round(greatest(0, least(1, 0.6 * sim + 0.3 + 0.1)), 4) AS score FROM (SELECT fact_id, list_cosine_similarity(embedding, q) AS sim FROM facts, query WHERE 'd' || label IN (SELECT domain FROM top) ORDER BY sim DESC, fact_id LIMIT 20)) "
+       "SELECT 'hierarchical_index_routing' AS mode, * FROM (SELECT 'path' AS kind, level || ':' || label AS id, round(score, 4) AS score FROM steps UNION ALL SELECT 'domain', domain, round(s, 4) FROM top UNION ALL SELECT 'fact', fact_id::VARCHAR, score FROM f UNION ALL SELECT 'passage', 'event ' || fact_id, -1 FROM f)")
+def hmem_answer(spark, sf_dir):
+    """A whole answer: routing path, chosen domains, facts and their passages."""
+    f = labelled(spark, sf_dir)
+    passages = f.select(F.col("provenance_text").alias("passage"), F.concat(F.lit("text of "), "provenance_text").alias("passage_text"))
+    rows = hierarchy.answer(f, hierarchy.edges(f, "domain"), domains(spark, sf_dir), passages, QUESTION, query_vector(spark, sf_dir), 20)
+    return rows.select("mode", "kind", "id", F.round(F.coalesce("score", F.lit(-1.0)), 4).alias("score"))
