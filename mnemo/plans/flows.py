@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from mnemo.functions import metadata
 from mnemo.operators import conflicts, hierarchy, replay, trigrams
 from mnemo.operators.indexing import StoredHierarchy
+from mnemo.operators.pipeline import ExtractionStore
 from mnemo.operators.store import StoredTable
-from mnemo.plans.catalogue import CHUNKS, DOMAINS_SQL, FACTS, ORACLE_SQL, ROUTE_SQL, THRESHOLD, chunks, domains, query, query_vector
-from mnemo.plans.services import LEGACY, contradicting, labelled, pairs_sql
+from mnemo.plans.catalogue import AS_OF, CHUNKS, DOMAINS_SQL, FACTS, ORACLE_SQL, ROUTE_SQL, THRESHOLD, chunks, domains, query, query_vector
+from mnemo.plans.services import LEGACY, contradicting, labelled, pairs_sql, replies
 from mnemo.sources.derived import facts, table
 from mnemo.sources.folders import read_folders
 from mnemo.sources.keyset import KeysetLoad
@@ -150,3 +151,20 @@ def hmem_answer(spark, sf_dir):
     passages = f.select(F.col("provenance_text").alias("passage"), F.concat(F.lit("text of "), "provenance_text").alias("passage_text"))
     rows = hierarchy.answer(f, hierarchy.edges(f, "domain"), domains(spark, sf_dir), passages, QUESTION, query_vector(spark, sf_dir), 20)
     return rows.select("mode", "kind", "id", F.round(F.coalesce("score", F.lit(-1.0)), 4).alias("score"))
+
+
+@query("""WITH u AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE event_id % 5 < 3)
+SELECT event_type AS predicate, count(*) AS facts, count(*) FILTER (n >= 3) AS links, count(*) AS passages, 1::BIGINT AS entities, (SELECT count(*) FROM events WHERE event_id % 5 >= 3) AS open FROM u GROUP BY 1""")
+def extract_to_end(spark, sf_dir):
+    """Replies extracted in two batches and once more: facts, links and passages by predicate, its entity, and the chunks that stay open."""
+    r = replies(spark, sf_dir)
+    done = ExtractionStore(spark, new_path(spark, "extraction"), 8)
+    early = F.col("observed_at") < "2024-01-16"
+    for batch, rows in (("a", r.where(early)), ("b", r.where(~early)), ("c", r)):
+        done.run(rows, batch, AS_OF)
+    links = done.links_.read().select("fact_id", F.lit(1).alias("linked"))
+    held = done.passages_.read().select(F.col("passage_id").alias("chunk_id"), F.lit(1).alias("held"))
+    n = done.facts_.read().join(links, "fact_id", "left").join(held, "chunk_id", "left").groupBy("predicate").agg(F.count(F.lit(1)).alias("facts"), F.count("linked").alias("links"), F.count("held").alias("passages"))
+    named = done.entities_.read().groupBy(F.col("name").alias("predicate")).agg(F.count(F.lit(1)).alias("entities"))
+    left = done.pending(r).agg(F.count(F.lit(1)).alias("open"))
+    return n.join(named, "predicate").crossJoin(left).select("predicate", "facts", "links", "passages", "entities", "open")  # one row
