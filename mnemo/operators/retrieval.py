@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from mnemo.functions.expressions import cosine, route_query
 from mnemo.operators import neighbours
 
+#: Query rows that are broadcast to the corpus at most.
+MAX_QUERIES = 2000
+
 
 def lexical(chunks: DataFrame, text: str, k: int) -> DataFrame:
     """The newest ``k`` chunks that hold ``text`` (wildcards stay live); newest is by doc_id, then ordinal."""
@@ -30,8 +33,17 @@ def hybrid(chunks: DataFrame, text: str, query: list[float], k: int) -> DataFram
 
 
 def top_k_of_each(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, rank, similarity): the k nearest vectors of every query; cells that can hold none are not compared."""
-    return neighbours.nearest(corpus, queries, k)[0]
+    """(query_id, vec_id, rank, similarity): the k nearest vectors of every query.
+
+    Up to ``MAX_QUERIES`` queries are sent to the corpus, which is read once; more go to the cells of ``neighbours.nearest``, which leave out those that can hold none of the nearest.
+    """
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        return neighbours.nearest(corpus, queries, k)[0]
+    pairs = corpus.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))).where("query_id <> vec_id")  # bounded by MAX_QUERIES
+    scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    top = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return top.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
 
 
 def context_bundle(query: str, facts: DataFrame, passages: DataFrame, warnings: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemo.functions import metadata
-from mnemo.operators import conflicts, hierarchy, replay, trigrams
+from mnemo.operators import conflicts, hierarchy, neighbours, replay, trigrams
 from mnemo.operators.indexing import StoredHierarchy
 from mnemo.operators.pipeline import ExtractionStore
 from mnemo.operators.store import StoredTable
@@ -168,3 +168,10 @@ def extract_to_end(spark, sf_dir):
     named = done.entities_.read().groupBy(F.col("name").alias("predicate")).agg(F.count(F.lit(1)).alias("entities"))
     left = done.pending(r).agg(F.count(F.lit(1)).alias("open"))
     return n.join(named, "predicate").crossJoin(left).select("predicate", "facts", "links", "passages", "entities", "open")  # one row
+
+
+@query(ORACLE_SQL["semantic_batch_topk"])
+def semantic_batch_cells(spark, sf_dir):
+    """The nearest vectors of a batch of queries through cells with exact bounds."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(emb, emb.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10)[0]

@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from mnemo.plans import services  # noqa: F401
+from mnemo.plans import flows, services, stores  # noqa: F401
 from mnemo.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
