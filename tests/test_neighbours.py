@@ -1,7 +1,7 @@
 import math
 
 import numpy as np
-from mnemo.operators import neighbours
+from mnemo.operators import neighbours, retrieval
 
 
 def frames(spark, rows, queries):
@@ -48,3 +48,29 @@ def test_few_and_no_vectors(spark):
     check(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])], [(1, [1.0, 0.0]), (9, [0.5, 0.5])], 5)
     check(spark, [], [(1, [1.0])], 3)
     check(spark, [(1, [1.0])], [], 3)
+
+
+def test_blocks_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    monkeypatch.setattr(neighbours, "ASKED", 7)
+    rng = np.random.default_rng(3)
+    rows = [(k, [1.0, 2.0, 3.0] if k % 3 == 0 else rng.standard_normal(3).tolist()) for k in range(1500)]
+    queries = [(k, rows[k][1]) for k in range(0, 1500, 50)]
+    check(spark, rows, queries)
+    few = neighbours.nearest_of_few(*frames(spark, rows, queries), 5)
+    assert [tuple(r)[:3] for r in few.orderBy("query_id", "rank").collect()] == [x[:3] for x in sorted(brute(rows, queries, 5), key=lambda x: (x[0], x[2]))]
+
+
+def test_pairs_stay_inside_their_task(spark):
+    """What leaves a task are the best of each query, not the pairs."""
+    vectors = np.random.default_rng(4).standard_normal((900, 8))
+    out = neighbours.best(np.arange(900), vectors, np.arange(0, 900, 9), vectors[::9], 4)
+    assert out.num_rows == 400
+    same = neighbours.best(np.arange(900), np.ones((900, 8)), np.arange(0, 900, 9), np.ones((100, 8)), 4)
+    assert same.num_rows == 400 and same["vec_id"].to_pylist()[:8] == [1, 2, 3, 4, 0, 1, 2, 3]
+
+
+def test_few_vectors_are_followed_by_those_without_similarity(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, None), (5, [1.0, 1.0])]
+    got = [tuple(r) for r in retrieval.top_k_of_each(*frames(spark, rows, [rows[0], rows[1]]), 3).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 5, 1, 0.7071), (1, 3, 2, 0.0), (1, 2, 3, None), (2, 1, 1, None), (2, 3, 2, None), (2, 4, 3, None)]
