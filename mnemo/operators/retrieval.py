@@ -36,14 +36,17 @@ def top_k_of_each(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, rank, similarity): the k nearest vectors of every query.
 
     Up to ``MAX_QUERIES`` queries are sent to the corpus, which is read once; more go to the cells of ``neighbours.nearest``, which leave out those that can hold none of the nearest.
+    Where fewer than k vectors have a similarity to a query, others follow with none, in order of vec_id.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        return neighbours.nearest(corpus, queries, k)[0]
-    pairs = corpus.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))).where("query_id <> vec_id")  # bounded by MAX_QUERIES
-    scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("similarity"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    top = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-    return top.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
+    few = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
+    found = neighbours.nearest_of_few(corpus, queries, k) if few else neighbours.nearest(corpus, queries, k)[0]
+    n = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    short = queries.select("query_id").join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    lowest = corpus.select("vec_id").orderBy("vec_id").limit(2 * k)  # fewer than k are found or the query's own
+    more = short.join(F.broadcast(lowest)).where("query_id <> vec_id").join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("vec_id")) + F.col("n")
+    more = more.withColumn("rank", place).where(F.col("rank") <= k)
+    return found.unionByName(more.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.lit(None).cast("double").alias("similarity")))
 
 
 def context_bundle(query: str, facts: DataFrame, passages: DataFrame, warnings: list[str] | None = None) -> DataFrame:
