@@ -14,7 +14,7 @@ from mnemo.plans.services import LEGACY, contradicting, labelled, pairs_sql, rep
 from mnemo.sources.derived import facts, table
 from mnemo.sources.folders import read_folders
 from mnemo.sources.keyset import KeysetLoad
-from mnemo.sources.shared import new_path
+from mnemo.sources.shared import cut_lineage, new_path
 
 REPLAY_SQL = f"""WITH RECURSIVE {FACTS},
 g AS MATERIALIZED (SELECT fact_id, lower(subject) AS s, lower(predicate) AS p, lower(object_value) AS o, observed_at AS t, valid_to, status, superseded_by, embedding, row_number() OVER (PARTITION BY lower(subject), lower(predicate) ORDER BY fact_id) AS k FROM facts),
@@ -57,7 +57,7 @@ LEFT JOIN (SELECT fact_id, count(*) AS n FROM every GROUP BY 1) l ON l.fact_id =
 def conflicts_resolved(spark, sf_dir):
     """All conflicts logged as resolved, and the facts after them."""
     f = contradicting(spark, sf_dir)
-    log = conflicts.resolutions(conflicts.detect(f, THRESHOLD))
+    log = cut_lineage(conflicts.resolutions(conflicts.detect(f, THRESHOLD)), "resolutions")  # read twice
     n = log.groupBy("fact_id").agg(F.count(F.lit(1)).alias("resolved"))
     after = conflicts.applied(f, log).select("fact_id", "superseded_by")
     return after.join(n, "fact_id", "left").select("fact_id", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"), F.coalesce("resolved", F.lit(0)).alias("resolved"))

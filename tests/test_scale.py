@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from mnemo.operators import conflicts, graph
+from mnemo.plans import flows
 from mnemo.sources import shared
 
 
@@ -52,6 +54,44 @@ def test_pairs_are_not_shuffled_by_probe(hot):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def of_pairs(df):
+    return sorted((r["p"]["fact_id"], r["o"]["fact_id"], r["similarity"]) for r in df.select("p", "o", "similarity").collect())
+
+
+@pytest.mark.parametrize("block, k, least", [(1, 2, 0.25), (7, 5, 0.9), (1024, 3, 0.25), (1024, 50, 0.0)])
+def test_similar_others_are_the_nearest_candidates(hot, block, k, least):
+    want = conflicts.nearest(conflicts.candidates(hot[1]), k).where(F.round("similarity", 4) >= least)
+    assert of_pairs(conflicts.similar(hot[1], k, least, block)) == of_pairs(want) != []
+
+
+@pytest.mark.parametrize("tile, rows", [(1, 1), (5, 7), (64, 13), (1000, 1000)])
+def test_groups_that_span_batches_and_tiles(hot, monkeypatch, tile, rows):
+    monkeypatch.setattr(conflicts, "TILE", tile)
+    df = hot[1].where("embedding is not null and object_value is not null and subject is not null").selectExpr(
+        "lower(subject) ls", "'p' lp", "0 pb", "0 ob", "lower(object_value) lo", "fact_id", "object_value", "provenance_text", "0L t", "embedding", "true probe", "superseded_by is null other")
+    batches = df.orderBy("ls").toArrow().combine_chunks().to_batches(rows)
+    got = sorted((p["fact_id"], o["fact_id"], s) for b in conflicts._best_of_groups(batches, 4, 0.25) for p, o, s in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    assert got == of_pairs(conflicts.nearest(conflicts.candidates(hot[1]), 4).where(F.round("similarity", 4) >= 0.25))
+
+
+def shuffles(df):
+    return re.findall(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_conflicts_send_facts_once_and_no_pairs(spark, hot):
+    few = hot[1].localCheckpoint()
+    assert len(shuffles(conflicts.temporal(few))) == 1
+    plan = conflicts.exclusive(few)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Generate explode")[0] and plan.count("- Window [") == 2
+
+
+def test_resolutions_are_detected_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(flows, "cut_lineage", lambda df, label: calls.append(label) or shared.cut_lineage(df, label))
+    plan = flows.conflicts_resolved(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert calls == ["resolutions"] and "MapInArrow" not in plan
+
+
 @pytest.mark.parametrize("split, cut", [(1, 1), (2, 3), (1_000_000, 1)])
 def test_ranks_do_not_depend_on_how_hubs_are_split(spark, monkeypatch, split, cut):
     monkeypatch.setattr(graph, "SPLIT", split)
