@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from mnemo.operators import facts as batch
 from mnemo.sources.shared import new_path
 from mnemo.streaming import live
@@ -30,6 +31,28 @@ def test_newest_first_in_one_file(spark):
     assert got == {k: (30_000 - k, k <= 29_997) for k in range(30_000)}
 
 
+@pytest.mark.parametrize("n", [0, 1, 9, 10, 11, 95])
+def test_rows_are_sorted_in_runs(monkeypatch, n):
+    monkeypatch.setattr(live, "SORTED", 10)
+    monkeypatch.setattr(live, "ROWS", 3)
+    rows = [(k * 7 % 19, k) for k in range(n)]
+    held = []
+    spool = live.spooled
+    monkeypatch.setattr(live, "spooled", lambda x: held.append(len(x)) or spool(x))
+    assert list(live.sorted_by(iter(rows), lambda r: r)) == sorted(rows)
+    assert all(x <= 10 for x in held) and sum(held) == (n if n >= 10 else 0)
+
+
+def test_a_task_holds_few_rows_of_a_frequent_key(spark):
+    """More rows of one key than are sorted at once, the latest of which stay for later."""
+    n = 250_000
+    folder = new_path(spark, "facts")
+    rows = spark.range(n).select(F.lit("p").alias("predicate"), F.col("id").alias("fact_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 7919 % n).alias("observed_at"))
+    rows.coalesce(1).write.parquet(folder)
+    out = live.run_closed(stream_of(spark, folder), "observed_at", lambda r: live.schema_gate(r, late="1 day"), new_path(spark, "s"))
+    assert out.where(F.col("frequency") == F.col("fact_id") * 7919 % n + 1).count() == n
+
+
 def test_files_in_any_order_and_a_restart(spark):
     rng = random.Random(3)
     rows = [(rng.choice("abc"), k, AT + dt.timedelta(minutes=rng.randrange(600))) for k in range(900)]
