@@ -87,9 +87,11 @@ class StoredTable:
             old = self._stored().where(F.col("bucket").isin(touched))
             every = old.select(*self.columns, F.lit(0).alias("_new"), F.lit(None).cast("decimal(38,6)").alias("_number"), F.lit(None).cast("string").alias("_text"), F.array(*map(F.lit, self.columns)).alias("_sets"), F.lit(0).cast("long").alias("_tie"), "batch")
             changed = new.withColumn("batch", F.lit(batch))
-            merged = self._folded(every.unionByName(changed))
-            spread = merged.withColumn("bucket", self._bucket()).repartition("bucket", F.pmod(F.xxhash64(*self.key, F.lit(1)), F.lit(self.slices)))
-            spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/rows")
+            part = F.pmod(F.xxhash64(*self.key, F.lit(1)), F.lit(self.slices)).alias("_slice")
+            merged = self._folded(every.unionByName(changed).select("*", self._bucket(), part).repartition("bucket", "_slice"))
+            if any(p == MERGE for p in self.policies.values()):
+                merged = merged.repartition("bucket", "_slice")  # the join of the maps has dealt the rows anew
+            merged.drop("_slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/rows")
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
         return True
 
@@ -104,13 +106,14 @@ class StoredTable:
         return rows.select(*map(value, self.fields), F.lit(1).alias("_new"), number.cast("decimal(38,6)").alias("_number"), text.cast("string").alias("_text"), sets.alias("_sets"), F.xxhash64(*flat).alias("_tie"))
 
     def _folded(self, events: DataFrame) -> DataFrame:
+        """One row a key of ``events``, which lie by bucket and slice and are not sent again to be grouped."""
         place = F.struct("_new", "_number", "_text", "_tie")
         maps = [c for c in self.columns if self.policies.get(c) == MERGE]
         first = [c for c in self.columns if self.policies.get(c) == KEEP_FIRST]
         plain = [c for c in self.columns if c not in self.key and c not in maps and c not in first]
         latest = lambda c: F.max_by(F.col(c), F.when(F.array_contains("_sets", c), place)).alias(c)
         firsts = [F.min_by(F.struct(*first), place).alias("_first")] if first else []
-        out = events.groupBy(*self.key).agg(*map(latest, plain), *firsts, F.max_by("batch", place).alias("batch"))
+        out = events.groupBy("bucket", "_slice", *self.key).agg(*map(latest, plain), *firsts, F.max_by("batch", place).alias("batch"))
         for c in maps:
             keys = [F.col(k).alias(f"_key_{k}") for k in self.key]
             entries = events.select(*keys, place.alias("_place"), F.explode(c).alias("_k", "_v")).groupBy(*(f"_key_{k}" for k in self.key), "_k").agg(F.max_by("_v", "_place").alias("_v"))
@@ -121,7 +124,7 @@ class StoredTable:
             out = out.join(entries, same, "left").drop(*(f"_key_{k}" for k in self.key))
         if first:
             out = out.select("*", *(F.col("_first")[c].alias(c) for c in first))
-        return out.select(*self.columns, "batch")
+        return out.select(*self.columns, "batch", "bucket", "_slice")
 
 
 DOCUMENT = "document_id string, title string, source_uri string, content_hash string, metadata map<string,string>, n_chunks long"
@@ -153,28 +156,32 @@ class DocumentStore:
         meta = F.col("metadata") if "metadata" in docs.columns else F.lit(None).cast("map<string,string>")
         rows = docs.select("title", "source_uri", "text", meta.alias("metadata"), F.sha2("text", 256).alias("content_hash"))
         blank = F.col("text").isNull() | (F.trim("text") == "")
-        one = F.min_by(F.struct("title", "source_uri", "text", "metadata"), F.struct(F.col("title"), F.col("source_uri"))).alias("d")
+        one = F.min_by(F.struct("title", "source_uri", "metadata"), F.struct(F.col("title"), F.col("source_uri"))).alias("d")
         contents = rows.groupBy("content_hash", blank.alias("blank")).agg(F.count(F.lit(1)).alias("n"), one)
         stored = self.documents_.read().select("content_hash", F.lit(True).alias("stored"))
         told = contents.join(stored, "content_hash", "left")
         status = F.when(F.col("blank"), "skipped_empty").when(F.col("stored"), "skipped").otherwise("ingested")
-        told = told.select("content_hash", status.alias("status"), "n", "d.*")
+        told = cut_lineage(told.select("content_hash", status.alias("status"), "n", "d.*"), "contents")  # without the texts
         fresh = told.where("status = 'ingested'").withColumn("document_id", uuid5(DOCUMENTS, F.col("content_hash")))
-        chunks = chunk_text(fresh.select(F.col("document_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "document_id")
         report = told.select("content_hash", "status", "n")
         out = f"{self.path}/reports/{batch}"
         if not exists(self.spark, out):
             report.write.mode("overwrite").parquet(out)  # before anything is stored
-        self.chunks_.merge(chunks, batch)
-        n = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-        self.documents_.merge(fresh.join(n, "document_id", "left").select("document_id", "title", "source_uri", "content_hash", "metadata", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks")), batch)
+        if not self.chunks_.applied(batch):
+            kept = fresh.select("content_hash", "document_id", F.col("title").alias("_title"), F.col("source_uri").alias("_uri"))
+            texts = rows.where(~blank).join(kept, "content_hash").where(F.col("title").eqNullSafe(F.col("_title")) & F.col("source_uri").eqNullSafe(F.col("_uri")))  # rows alike in all give the same chunks
+            self.chunks_.merge(chunk_text(texts.select(F.col("document_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "document_id"), batch)
+        if not self.documents_.applied(batch):
+            n = self.chunks_.read().groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+            self.documents_.merge(fresh.join(n, "document_id", "left").select("document_id", "title", "source_uri", "content_hash", "metadata", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks")), batch)
         return self.spark.read.schema(report.schema).parquet(out)
 
     def documents(self) -> DataFrame:
         return self.documents_.read()
 
-    def chunks(self) -> DataFrame:
-        return self.chunks_.read().join(self.documents().select("document_id"), "document_id", "left_semi")
+    def chunks(self, *columns) -> DataFrame:
+        """All chunks, or columns of them that ``document_id`` is among."""
+        return self.chunks_.read().select(*columns or self.chunks_.columns).join(self.documents().select("document_id"), "document_id", "left_semi")
 
     def embed(self, vectors: DataFrame, batch: str) -> bool:
         """Give chunks their vectors (document_id, ordinal, embedding); other fields stay."""

@@ -23,7 +23,8 @@ def store_documents(spark, sf_dir):
     stored = store.DocumentStore(spark, new_path(spark, "documents"), 16)
     for batch in ("first", "first", "second"):
         stored.ingest(docs, batch)
-    chunks = stored.chunks().groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content").cast("long")).alias("chars"))
+    lengths = stored.chunks("document_id", F.length("content").cast("long").alias("chars"))
+    chunks = lengths.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chars").alias("chars"))
     return stored.documents().join(chunks, "document_id").select("content_hash", "source_uri", "n_chunks", "chunks", "chars")
 
 

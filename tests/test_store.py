@@ -62,6 +62,28 @@ def test_documents_and_chunks_land_together(spark, monkeypatch):
     assert stored.chunks().where("embedding is not null").count() == 6
 
 
+def test_a_merge_sends_rows_once(spark, monkeypatch):
+    plans, folded = [], StoredTable._folded
+    monkeypatch.setattr(StoredTable, "_folded", lambda t, e: plans.append(folded(t, e)) or plans[-1])
+    t = StoredTable(spark, new_path(spark, "t"), ["k"], "k long, v string", {"v": store.KEEP_FIRST}, 8, slices=3)
+    t.merge(spark.range(500).selectExpr("id % 100 k", "string(id) v"), "one")
+    assert t.read().count() == t.read().select("k").distinct().count() == 100
+    assert plans[0]._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_texts_are_neither_grouped_nor_sent_to_a_batch_that_is_stored(spark, monkeypatch):
+    stored, merged = store.DocumentStore(spark, new_path(spark, "d"), 4), []
+    merge = StoredTable.merge
+    monkeypatch.setattr(StoredTable, "merge", lambda t, rows, batch, order=None: merged.append((t.key, rows)) or merge(t, rows, batch, order))
+    twice = docs_of(spark).unionByName(docs_of(spark))  # rows alike in all
+    stored.ingest(twice, "one")
+    assert {r["title"]: r["n_chunks"] for r in stored.documents().collect()} == {"a": 5, "c": 1} and stored.chunks("document_id").count() == 6
+    (_, chunks), (_, documents) = merged
+    assert "text" not in documents._jdf.queryExecution().optimizedPlan().toString() and "min_by" not in chunks._jdf.queryExecution().optimizedPlan().toString()
+    stored.ingest(twice, "one")
+    assert len(merged) == 2
+
+
 def test_job_states_over_batches(spark):
     jobs = store.job_table(spark, new_path(spark, "j"), 4)
 
