@@ -45,7 +45,6 @@ class ExtractionStore:
         """
         done = cut_lineage(extraction.extract(self.pending(chunks)), "extracted")
         passages, made, _ = extraction.store(done, as_of, least)
-        made = cut_lineage(made, "made")
         entities = done.where("ok").select(F.explode("entities").alias("e")).select(F.col("e.name").alias("name"), F.coalesce(F.when(F.col("e.type") != "", F.col("e.type")), F.lit("other")).alias("entity_type")).distinct()
         self.entities_.merge(entities.withColumn("metadata", F.create_map(F.lit("origin"), F.lit("extraction"))), batch)
         self.facts_.merge(made, batch)

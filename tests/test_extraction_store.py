@@ -2,7 +2,9 @@ import datetime as dt
 import json
 
 import pytest
+from mnemo.operators import extraction
 from mnemo.operators.pipeline import ExtractionStore
+from mnemo.plans import services
 from mnemo.sources.shared import new_path
 
 AT = dt.datetime(2024, 1, 1)
@@ -33,3 +35,11 @@ def test_extraction_goes_on_after_a_loss(spark, monkeypatch):
     assert done.hierarchy.edges().count() == before and done.facts_.read().count() == 6
     found = done.conflicts().collect()
     assert found and {r["conflict_type"] for r in found} == {"mutually_exclusive"} and {r["fact_id"] for r in found} <= {r["fact_id"] for r in done.links_.read().collect()}
+
+
+def test_links_do_not_parse_replies_again(spark):
+    done = extraction.extract(services.replies(spark, "/root/testdata/sf0.001"))
+    _, made, links = extraction.store(done, "2024-02-01 00:00:00")
+    for df in (made, links):
+        assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < links.count() < made.count()
