@@ -50,7 +50,7 @@ class StoredHierarchy:
         Facts that have a node are left out; of the rest only what is not stored is made.  A batch that was broken off is run again under its name and gives the same counts.
         """
         counts = f"{self.path}/created/{batch}"
-        new = self.missing(facts)
+        new = cut_lineage(self.missing(facts.select("fact_id", "predicate", "provenance_text", domain)), "unindexed")  # nodes and edges read it many times
         nodes, edges = hierarchy.nodes(new, domain), hierarchy.edges(new, domain)
         if entities is not None:
             nodes, edges = nodes.unionByName(entity_nodes(entities)).distinct(), edges.unionByName(hierarchy.entity_edges(entities)).distinct()

@@ -1,7 +1,7 @@
 import time
 
 import pytest
-from mnemo.operators import extraction, hierarchy
+from mnemo.operators import extraction, hierarchy, indexing
 from mnemo.operators.indexing import StoredHierarchy, entity_nodes
 from mnemo.sources.shared import new_path
 from pyspark.sql import functions as F
@@ -35,3 +35,12 @@ def test_many_braces_take_time_in_proportion(spark):
     got = {r["k"]: r["n"] for r in spark.createDataFrame(rows, "k int, t string").select("k", F.size(extraction.coerce_json(F.col("t"))["entities"]).alias("n")).collect()}
     assert time.time() - began < 30
     assert got[1] == got[2] == 1 and got[4] == 0 and got[3] in (None, -1)
+
+
+def test_facts_are_looked_up_once(spark, monkeypatch):
+    """Nodes and edges are made of the narrow facts without a node, not of their join."""
+    plans, keep = {}, indexing.cut_lineage
+    monkeypatch.setattr(indexing, "cut_lineage", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()) and keep(df, label))
+    facts = spark.createDataFrame([(1, "p", "t", "d", [1.0])], "fact_id long, predicate string, provenance_text string, domain string, embedding array<double>")
+    indexing.StoredHierarchy(spark, new_path(spark, "h"), 2).index(facts, "a")
+    assert set(plans) == {"unindexed", "nodes", "edges"} and "embedding" not in plans["nodes"] + plans["edges"] and "_known" not in plans["nodes"] + plans["edges"]
