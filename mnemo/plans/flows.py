@@ -68,8 +68,7 @@ def chunks_by_trigrams(spark, sf_dir):
     """Chunks whose content or title holds either of two patterns, through an index of trigrams; wildcards stay live."""
     rows = chunks(spark, sf_dir, False).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title")), "doc_id")
     index = trigrams.TrigramIndex(spark, new_path(spark, "trigrams"), ["doc_id", "ordinal"], ["content", "title"]).build(rows)
-    found = index.search(rows, "%the_t%ing%").unionByName(index.search(rows, "%src1%"))
-    return found.select("doc_id", "ordinal", "title").distinct()
+    return index.search(rows, "%the_t%ing%", "%src1%").select("doc_id", "ordinal", "title")
 
 
 @query(ORACLE_SQL["facts_lexical"])

@@ -44,3 +44,21 @@ def test_names_in_texts_without_a_nested_loop(spark):
 def test_trigrams_of_short_texts(spark):
     rows = spark.createDataFrame([("",), (None,), ("ab",), ("aBc",), ("aaaa",)], "t string").select(trigrams.trigrams(F.col("t")).alias("g")).collect()
     assert [r["g"] for r in rows] == [[], [], [], ["abc"], ["aaa"]]
+
+
+def test_index_holds_a_list_a_block_and_trigram(spark):
+    rows = spark.range(5000).select("id", F.lit("the same words everywhere").alias("t"), F.concat(F.lit("n"), F.pmod("id", F.lit(7)), F.lit("xy")).alias("u")).coalesce(2)
+    index = TrigramIndex(spark, new_path(spark, "i"), ["id"], ["t", "u"]).build(rows)
+    assert spark.read.parquet(index.path).count() <= 2 * (1 + 23 + 15)  # in each of two tasks one block of keys and postings
+    assert index.search(rows, "%n3X%", "%n5x%").count() == sum(k % 7 in (3, 5) for k in range(5000)) and index.search(rows, "%everywhere", "ab").count() == 5000
+    again = TrigramIndex(spark, index.path, ["id"], ["t", "u"])  # an index that was built before
+    assert again.search(rows, "%n3X%").count() == sum(k % 7 == 3 for k in range(5000))
+
+
+def test_blocks_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(trigrams, "BYTES", 300)
+    rows = texts_of(spark)
+    index = TrigramIndex(spark, new_path(spark, "i"), ["a", "b"], ["t", "u"]).build(rows)
+    assert index.search(rows, "%the cat%").count() == rows.where("t ilike '%the cat%' or u ilike '%the cat%'").count() > 0
+    none = rows.where("a < 0")
+    assert TrigramIndex(spark, new_path(spark, "i"), ["a", "b"], ["t", "u"]).build(none).search(none, "%the cat%").count() == 0
