@@ -2,6 +2,7 @@ import random
 
 from mnemo.operators import trigrams
 from mnemo.operators.trigrams import TrigramIndex, contained, literals
+from mnemo.sources.derived import facts
 from mnemo.sources.shared import new_path
 from pyspark.sql import functions as F
 
@@ -62,3 +63,11 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert index.search(rows, "%the cat%").count() == rows.where("t ilike '%the cat%' or u ilike '%the cat%'").count() > 0
     none = rows.where("a < 0")
     assert TrigramIndex(spark, new_path(spark, "i"), ["a", "b"], ["t", "u"]).build(none).search(none, "%the cat%").count() == 0
+
+
+def test_index_of_facts_stores_few_rows(spark):
+    f = facts(spark, "/root/testdata/sf0.001", False)
+    columns = ["subject", "predicate", "object_value", "provenance_text"]
+    index = TrigramIndex(spark, new_path(spark, "i"), ["fact_id"], columns).build(f)
+    pairs = f.select(F.explode(F.flatten(F.array(*(trigrams.trigrams(F.col(c)) for c in columns))))).count()
+    assert spark.read.parquet(index.path).count() < 0.1 * pairs
