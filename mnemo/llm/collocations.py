@@ -11,9 +11,8 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +57,6 @@ def pieces_of(text: str) -> Iterator[str]:
             yield piece
 
 
-def words_of(piece: str) -> tuple[list[str], int]:
-    """(words, number of words in front that are context): an n-gram counts where its last word is no context."""
-    return (piece[1:].split(" "), LONGEST - 1) if piece[0] == CONTEXT else (piece.split(" "), 0)
-
-
 def distinct_pieces(docs: DataFrame) -> DataFrame:
     """(key, m): language, line feed and piece, and how often it occurs."""
     def run(batches):
@@ -114,42 +108,80 @@ def blocks_of(pieces: DataFrame) -> DataFrame:
     return pieces.select("key", "m").mapInArrow(run, "block long, pieces binary, words long")
 
 
-def by_language(table: pa.Table) -> dict[str, tuple[list[str], list[tuple[str, int]]]]:
-    """Each language's whole pieces that occur once, and the other pieces with their multiplicities."""
-    out: dict = defaultdict(lambda: ([], []))
-    for key, m in zip(table.column("key").to_pylist(), table.column("m").to_pylist(), strict=True):
-        lang, _, piece = key.rpartition("\n")
-        if m == 1 and piece[0] != CONTEXT:
-            out[lang][0].append(piece)
-        else:
-            out[lang][1].append((piece, m))
-    return out
-
-
-def short_grams(words: list[str], skip: int) -> Iterable[str]:
+class Words:
+    """The words of a block's pieces on end, as arrays; n-grams are numbered from those one word shorter."""
+
+    def __init__(self, table: pa.Table):
+        halves = pc.split_pattern(table.column("key").combine_chunks(), "\n", max_splits=1, reverse=True).flatten()  # a piece holds no line feed
+        langs, pieces = (halves.take(pa.array(np.arange(k, len(halves), 2))) for k in (0, 1))
+        context = pc.starts_with(pieces, CONTEXT)
+        words = pc.split_pattern(pc.if_else(context, pc.utf8_slice_codeunits(pieces, 1), pieces) if pc.any(context).as_py() else pieces, " ")
+        size = np.diff(words.offsets.to_numpy())
+        first = np.repeat(np.cumsum(size) - size, size)
+        coded, langs = words.values.dictionary_encode(), langs.dictionary_encode()
+        self.word, self.words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        self.at = np.arange(len(first)) - first
+        self.skip = np.repeat(np.where(context.to_numpy(zero_copy_only=False), LONGEST - 1, 0), size)  # an n-gram counts where its last word is no context
+        self.m = np.repeat(table.column("m").to_numpy(), size)
+        self.id, places = numbered(np.repeat(langs.indices.to_numpy().astype(np.int64), size) * len(self.words) + self.word)
+        self.grams = pc.binary_join_element_wise(langs.dictionary.take(pa.array(places // len(self.words))), self.words.take(pa.array(places % len(self.words))), "\n")
+        self.n, self.fits = 1, np.ones(len(first), bool)
+
+    def longer(self, fits: np.ndarray) -> None:
+        """Go on to n-grams of one word more, of those that end where ``fits``."""
+        self.fits = fits & (self.at >= self.n)  # words before the last one
+        self.n += 1
+        ends = np.flatnonzero(self.fits)
+        ids, places = numbered(self.id[ends - 1] * len(self.words) + self.word[ends])
+        self.grams = pc.binary_join_element_wise(self.grams.take(pa.array(places // len(self.words))), self.words.take(pa.array(places % len(self.words))), " ")
+        self.id = np.zeros(len(self.at), np.int64)
+        self.id[ends] = ids
+
+    def sums(self) -> pa.Table:
+        """(gram, w): language, line feed and n-gram, and how often it occurs."""
+        ends = np.flatnonzero(self.fits & (self.at >= self.skip))
+        w = np.zeros(len(self.grams), np.int64)
+        np.add.at(w, self.id[ends], self.m[ends])
+        used = np.flatnonzero(w)
+        return pa.table({"gram": self.grams if len(used) == len(w) else self.grams.take(pa.array(used)), "w": pa.array(w[used])})
+
+
+def numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the number of each code, the distinct codes in order)."""
+    order = np.argsort(codes)
+    ordered = codes[order]
+    new = np.diff(ordered, prepend=-1) != 0
+    ids = np.empty(len(codes), np.int64)
+    ids[order] = np.cumsum(new) - 1
+    return ids, ordered[new]
+
+
+def short_grams(words: Words) -> pa.Table:
     """The words, and the pairs of neighbours."""
-    return chain(words[skip:], map(" ".join, zip(words[max(skip - 1, 0):], words[max(skip, 1):])))
+    one = words.sums()
+    words.longer(words.fits)
+    return pa.concat_tables([one, words.sums()])
 
 
-def long_grams(words: list[str], skip: int, frequent: set[str]) -> Iterator[str]:
-    """The n-grams of three words and more whose pairs of neighbours are all frequent."""
-    begin = 0  # of the run of frequent pairs that ends here
-    for end in range(1, len(words)):
-        if f"{words[end - 1]} {words[end]}" not in frequent:
-            begin = end
-        elif end >= skip:
-            for first in range(max(begin, end - LONGEST + 1), end - 1):
-                yield " ".join(words[first:end + 1])
+def long_grams(words: Words, frequent: pa.Array) -> pa.Table:
+    """The n-grams of three words and more whose pairs of neighbours are all ``frequent``."""
+    words.longer(words.fits)
+    known = pc.is_in(words.grams, value_set=frequent).to_numpy(zero_copy_only=False)
+    pair = words.fits & (known[words.id] if len(known) else False)
+    run, found = pair, []
+    for _ in range(LONGEST - 2):
+        run = pair & np.concatenate([[False], run[:-1]])  # all pairs of the n-gram that ends here
+        words.longer(run)
+        found.append(words.sums())
+    return pa.concat_tables(found)
 
 
-def dealt(sums: dict[str, Counter], block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def dealt(table: pa.Table, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """A block's sums as one packed table for each bucket."""
     import duckdb
 
-    parts = [pa.table({"gram": pc.binary_join_element_wise(pa.scalar(lang), pa.array(list(found), pa.string()), pa.scalar("\n")), "w": pa.array(list(found.values()), pa.int64())}) for lang, found in sums.items()]
-    if not parts:
+    if not table.num_rows:
         return
-    table = pa.concat_tables(parts).combine_chunks()
     with duckdb.connect(config={"threads": 1}) as con:
         con.register("grams", table)
         bucket = con.execute(f"SELECT (hash(gram) % {buckets})::INTEGER AS b FROM grams").fetchnumpy()["b"].astype(np.int16)
@@ -165,15 +197,7 @@ def short_sums(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums = {}
-                for lang, (once, others) in by_language(unpacked(blob)).items():
-                    found = sums[lang] = Counter()
-                    for piece in once:
-                        found.update(short_grams(piece.split(" "), 0))
-                    for piece, m in others:
-                        for gram in short_grams(*words_of(piece)):
-                            found[gram] += m
-                yield from dealt(sums, block, buckets)
+                yield from dealt(short_grams(Words(unpacked(blob))), block, buckets)
 
     return blocks.select("block", "pieces").mapInArrow(run, "bucket int, block long, grams binary")
 
@@ -183,28 +207,16 @@ def long_sums(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
     rows = blocks.select("block", F.lit(1).alias("kind"), F.col("pieces").alias("data")).unionByName(replies.select("block", F.lit(0).alias("kind"), F.col("grams").alias("data")))
 
     def run(batches):
-        frequent: dict[str, set[str]] = {}
+        frequent: list[pa.Array] = []
         now = None
         for batch in batches:
             for block, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
-                    now, frequent = block, defaultdict(set)
+                    now, frequent = block, []
                 if kind == 0:
-                    for gram in unpacked(data).column("gram").to_pylist():
-                        lang, _, pair = gram.rpartition("\n")
-                        frequent[lang].add(pair)
-                    continue
-                sums = {}
-                for lang, (once, others) in by_language(unpacked(data)).items():
-                    found, pairs = Counter(), frequent[lang]
-                    for piece in once:
-                        found.update(long_grams(piece.split(" "), 0, pairs))
-                    for piece, m in others:
-                        for gram in long_grams(*words_of(piece), pairs):
-                            found[gram] += m
-                    if found:
-                        sums[lang] = found
-                yield from dealt(sums, block, buckets)
+                    frequent += unpacked(data).column("gram").chunks
+                elif frequent:
+                    yield from dealt(long_grams(Words(unpacked(data)), pa.chunked_array(frequent).combine_chunks()), block, buckets)
 
     return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "bucket int, block long, grams binary")
 

@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 from collections import Counter
 
 from mnemo.llm import collocations as M
@@ -76,3 +77,19 @@ def test_very_long_text_and_empty_table(spark):
     got = answers(spark, [("so it goes " * 200_000, "en")], 100)
     assert {r[2]: r[3] for r in got} == {"so it goes so it": 199_999, "it goes so it goes": 199_999, "goes so it goes so": 199_998} | {"so it goes": 200_000}
     assert answers(spark, []) == [] and answers(spark, [(None, None)]) == []
+
+
+def test_sums_of_a_block_take_no_step_in_python_for_each_word():
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(300)]
+    keys = [f"en\n{' '.join(rng.choices(words, k=12))}" for _ in range(3000)]
+    table = M.pa.table({"key": keys, "m": [1] * len(keys)})
+    want = Counter(g for key in keys for w in [key[3:].split(" ")] for g in [*w, *map(" ".join, zip(w, w[1:]))])
+    calls = []
+    sys.setprofile(lambda frame, event, what: calls.append(event))
+    try:
+        got = M.short_grams(M.Words(table))
+    finally:
+        sys.setprofile(None)
+    assert dict(zip(got["gram"].to_pylist(), got["w"].to_pylist(), strict=True)) == {f"en\n{g}": n for g, n in want.items()}
+    assert len(calls) < 5000 < 36_000
