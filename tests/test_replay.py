@@ -5,6 +5,8 @@ import random
 import numpy as np
 from mnemo.operators import replay
 from mnemo.operators.replay import ARRIVALS, Cells, Group, Lowest
+from mnemo.plans import flows  # noqa: F401  (adds its queries)
+from mnemo.plans.catalogue import QUERIES
 
 AT = dt.datetime(2024, 1, 1)
 FACT = "fact_id long, subject string, predicate string, object_value string, observed_at timestamp, valid_from timestamp, valid_to timestamp, status string, superseded_by long, embedding array<float>"
@@ -101,3 +103,8 @@ def test_lowest_of_other_objects():
         alive[k] = o
         for i in rng.sample(sorted(alive), min(len(alive), rng.randrange(3))):
             low.remove(i, alive.pop(i))
+
+
+def test_summary_replays_once(spark):
+    plan = QUERIES["replay_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
