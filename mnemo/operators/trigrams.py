@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Folders of postings (each is one more file of a task), rows of a block (a position fits a short), bytes of text after which a block is full.
-BUCKETS, ROWS, BYTES = 1, 1 << 15, 2_000_000
+#: Bytes of postings after which a run is sorted and written, rows of a block (a position fits a short), bytes of text after which a block is full.
+RUN, ROWS, BYTES = 32_000_000, 1 << 15, 2_000_000
+#: The trigram of a block's keys, before all others; rows of a page, so that a search skips most of a run.
+KEYS, PAGE = -1, 1000
 
 
 def trigrams(text: Column) -> Column:
@@ -89,52 +91,70 @@ def literals(pattern: str) -> list[str]:
     return [p for p in [*parts, now] if p]
 
 
-def bucket_of(gram: int | np.ndarray, buckets: int):
-    return gram % 1_000_003 % buckets
+def stored(block: int, column: str | None, gram: np.ndarray, positions: pa.Array, keys: pa.Array) -> pa.RecordBatch:
+    n = len(gram)
+    columns = [pa.array([block] * n, pa.int64()), pa.array([column] * n, pa.string()), pa.array(gram), positions, keys]
+    return pa.RecordBatch.from_arrays(columns, ["block", "column", "gram", "positions", "keys"])
 
 
-def stored(block: int, column: str | None, gram: np.ndarray, positions: pa.Array, keys: pa.Array, bucket: np.ndarray) -> pa.RecordBatch:
-    n = len(gram)
-    columns = [pa.array([block] * n, pa.int64()), pa.array([column] * n, pa.string()), pa.array(gram), positions, keys, pa.array(bucket, pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, ["block", "column", "gram", "positions", "keys", "bucket"])
+def in_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows as runs sorted by trigram; a run is full once it has ``size`` bytes, so no more than that and one batch is held."""
+    held: list[pa.RecordBatch] = []
+    used = 0
+
+    def run() -> pa.Table:
+        table = pa.Table.from_batches(held)
+        return table.take(pa.array(np.argsort(table.column("gram").to_numpy(), kind="stable")))
+
+    for batch in batches:
+        held, used = [*held, batch], used + batch.nbytes
+        if used >= size:
+            yield run()
+            held, used = [], 0
+    if held:
+        yield run()
 
 
 @dataclass
 class TrigramIndex:
-    """Postings of some columns of a table with a unique ``key``, sorted by trigram in their files, so that a search skips the pages of other trigrams.
+    """Postings of some columns of a table with a unique ``key``, sorted by trigram in runs of ``run`` bytes, so that a search skips the pages of other trigrams.
 
-    Each task writes the blocks of its rows itself, keys and postings together; nothing is shuffled.
+    Each task writes the blocks of its rows itself, keys and postings together; nothing is shuffled, and a task holds one run, however many rows it reads.
     """
 
     spark: SparkSession
     path: str
     key: list[str]
     columns: list[str]
-    buckets: int = BUCKETS
+    run: int = RUN
     schema: T.StructType | None = None
 
     def build(self, rows: DataFrame) -> TrigramIndex:
-        """Rows of a block: the positions (two bytes each) for each column and trigram, and in bucket -1 the keys in order of position."""
-        n, columns, buckets = len(self.key), self.columns, self.buckets
+        """Rows of a block: the positions (two bytes each) for each column and trigram, and under ``KEYS`` the keys in order of position."""
+        n, columns, size = len(self.key), self.columns, self.run
         keys = T.StructType([rows.schema[k] for k in self.key])
-        kinds = {"block": T.LongType(), "column": T.StringType(), "gram": T.LongType(), "positions": T.BinaryType(), "keys": T.ArrayType(keys), "bucket": T.IntegerType()}
+        kinds = {"block": T.LongType(), "column": T.StringType(), "gram": T.LongType(), "positions": T.BinaryType(), "keys": T.ArrayType(keys)}
         self.schema = T.StructType([T.StructField(*kind) for kind in kinds.items()])
 
-        def run(batches):
+        def postings(batches):
             base = TaskContext.get().partitionId() << 32
             for block, table in enumerate(bounded(batches, range(n, n + len(columns)))):
                 struct = pa.StructArray.from_arrays([table.column(k).combine_chunks() for k in range(n)], table.column_names[:n])
                 listed = pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct)
-                yield stored(base + block, None, np.array([0]), pa.nulls(1, pa.binary()), listed, np.array([-1]))
+                yield stored(base + block, None, np.array([KEYS]), pa.nulls(1, pa.binary()), listed)
                 for k, column in enumerate(columns):
                     gram, at = grams_of(table.column(n + k))
                     first = np.flatnonzero(np.diff(gram, prepend=-1))
                     ends = np.array([*first, len(at)], np.int32) * 2
                     positions = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(at.astype(np.uint16))])
-                    yield stored(base + block, column, gram[first], positions, pa.nulls(len(first), listed.type), bucket_of(gram[first], buckets))
+                    yield stored(base + block, column, gram[first], positions, pa.nulls(len(first), listed.type))
+
+        def run(batches):
+            for table in in_runs(postings(batches), size):
+                yield from table.to_batches(PAGE)
 
         lower = rows.select(*self.key, *(F.lower(c) for c in columns))
-        lower.mapInArrow(run, self.schema).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+        lower.mapInArrow(run, self.schema).write.mode("overwrite").option("parquet.page.row.count.limit", PAGE).parquet(self.path)
         return self
 
     def candidates(self, pattern: str) -> DataFrame | None:
@@ -145,10 +165,10 @@ class TrigramIndex:
         if not grams:
             return None
         table = (self.spark.read.schema(self.schema) if self.schema else self.spark.read).parquet(self.path)
-        read = table.where(F.col("bucket").isin(sorted({bucket_of(g, self.buckets) for g in grams})) & F.col("gram").isin(grams))
+        read = table.where(F.col("gram").isin(grams))
         several = F.collect_list("positions").alias("lists")
         lists = read.groupBy("block", "column").agg(several).where(F.size("lists") == len(grams))
-        both = table.where("bucket = -1").select("block", "keys").join(lists.groupBy("block").agg(F.collect_list("lists").alias("columns")), "block")
+        both = table.where(F.col("gram") == KEYS).select("block", "keys").join(lists.groupBy("block").agg(F.collect_list("lists").alias("columns")), "block")
 
         def run(batches):
             for batch in batches:

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from mnemo.operators import trigrams
 from mnemo.operators.trigrams import TrigramIndex, contained, literals
 from mnemo.sources.derived import facts
@@ -71,3 +74,24 @@ def test_index_of_facts_stores_few_rows(spark):
     index = TrigramIndex(spark, new_path(spark, "i"), ["fact_id"], columns).build(f)
     pairs = f.select(F.explode(F.flatten(F.array(*(trigrams.trigrams(F.col(c)) for c in columns))))).count()
     assert spark.read.parquet(index.path).count() < 0.1 * pairs
+
+
+def test_runs_are_sorted_and_hold_no_more_than_their_size():
+    batches = [trigrams.stored(b, "t", np.arange(30)[::-1], pa.array([b"xy"] * 30, pa.binary()), pa.nulls(30, pa.list_(pa.int64()))) for b in range(20)]
+    runs = list(trigrams.in_runs(iter(batches), 3 * batches[0].nbytes))
+    assert [r.num_rows for r in runs] == [90] * 6 + [60] and all(r.column("gram").to_pylist() == sorted(r.column("gram").to_pylist()) for r in runs)
+    rows = lambda tables: sorted((r["block"], r["gram"]) for t in tables for r in t.to_pylist())
+    assert rows(runs) == rows(batches) and list(trigrams.in_runs(iter([]), 1)) == []
+
+
+def test_a_task_that_builds_an_index_sorts_no_rows_of_its_own(spark):
+    rows = spark.range(40_000).select("id", F.concat(F.lit("event "), "id").alias("t")).coalesce(1)
+    context = spark.sparkContext
+    context.setJobGroup("index", "index")
+    index = TrigramIndex(spark, new_path(spark, "i"), ["id"], ["t"]).build(rows)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = [s for j in context.statusTracker().getJobIdsForGroup("index") for s in context.statusTracker().getJobInfo(j).stageIds]
+    held = [context._jsc.sc().statusStore().lastStageAttempt(s).peakExecutionMemory() for s in stages]
+    assert held and max(held) == 0  # memory of Spark's sorts grows with the rows of a task
+    assert [r["id"] for r in index.search(rows, "%event 3999%").orderBy("id").collect()] == [399 * 10 + 9, *range(39_990, 40_000)]
